@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, quality
+from . import linededup, mixing, neardup, quality
+from ._common import materialize
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +23,19 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(docs).select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), neardup.NearDup(similarity_pct=85))
+
+
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("words"))
+    return mixing.mix(materialize(docs, "sizes"), size=F.col("words")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
+    "op2_mix_sources": op2_mix_sources,
     "op4_line_dedup": op4_line_dedup,
+    "op5_near_duplicates": op5_near_duplicates,
     "op10_quality_rules": op10_quality_rules,
 }
 
