@@ -143,13 +143,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     common = runs.counts().where(F.col("n_docs") >= min_docs).drop("n_docs")
     gone = F.col("doc_id").isNull() & F.col("max_doc").isNotNull() | (F.col("doc_id") < F.col("max_doc"))
     lost = materialize(
-        hashes.join(common, ["h1", "h2"]).where(gone).groupBy(F.col("doc_id").alias("__l_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("__l_lost")),
+        hashes.join(common.hint("merge"), ["h1", "h2"]).where(gone).groupBy(F.col("doc_id").alias("__l_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("__l_lost")),
         "lost-lines",
     )
     runs.drop()
     drop_folder(spark, staged)
     row = docs.select(F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("__l_row"), F.col("text").alias("__l_text"), F.col("doc_id").cast("long").alias("__l_id0"))
-    joined = row.join(lost, F.col("__l_id0").eqNullSafe(F.col("__l_id")), "left").select("__l_row", "__l_text", "__l_lost")
+    # a merge join at every size: what documents lose has no bound that would let it be broadcast
+    joined = row.join(lost.hint("merge"), F.col("__l_id0").eqNullSafe(F.col("__l_id")), "left").select("__l_row", "__l_text", "__l_lost")
     schema = T.StructType([T.StructField("row", row.schema["__l_row"].dataType), *T._parse_datatype_string("kept_text string, n_lines long, n_dropped long").fields])
     return joined.mapInArrow(_rebuild(min_chars, schema.names), schema)
 

@@ -235,11 +235,11 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     classes = filled.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     members = classes.select("rep", "n", F.explode("bands").alias("band"))
     buckets = members.groupBy("band").agg(F.min("rep").alias("pivot"), F.count("*").alias("size")).where("size > 1").drop("size")
-    shared = materialize(members.join(buckets, "band"), "shared-bands")
-    texts = materialize(docs.join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidate-texts")
+    shared = materialize(members.join(buckets.hint("merge"), "band"), "shared-bands")
+    texts = materialize(docs.join(shared.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidate-texts")
     verify = lambda pairs: materialize(
-        pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+        pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
+        .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
         .mapInArrow(_verify(p), "a long, b long"),
         "links",
     )
@@ -256,9 +256,9 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     rest = few.join(mixed, "band").where(near).select(F.greatest("a", "rep").alias("a"), F.least("a", "rep").alias("b")).distinct()
     rest = rest.join(first, ["a", "b"], "left_anti")
     groups = components(links.union(verify(rest)))
-    of_class = classes.select("d1", "d2", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("group"))
+    of_class = classes.select("d1", "d2", "rep").join(groups.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("group"))
     alone = F.col("n_shingles") == 0
-    found = signed.select("doc_id", "n_shingles", "d1", "d2").join(of_class, ["d1", "d2"], "left")
+    found = signed.select("doc_id", "n_shingles", "d1", "d2").join(of_class.hint("merge"), ["d1", "d2"], "left")
     component = F.when(alone | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("group"))
     return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
@@ -266,4 +266,4 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
 def clean(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     """One document of each group, the one with the smallest doc_id; the columns of ``docs``."""
     gone = near_duplicates(docs, p).where(~F.col("kept")).select(F.col("doc_id").alias("__n_id")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__n_id"), "left_anti")
+    return docs.join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col("__n_id"), "left_anti")
