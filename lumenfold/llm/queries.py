@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, linededup, mixing, neardup, pieces, quality, tokens
+from . import ann, langid, licenses, linededup, mixing, neardup, pieces, quality, tokens
 from ._common import materialize
 
 #: Folder of the public vocabulary files.
@@ -53,6 +53,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken").drop("field_tokens")
 
 
+def op7_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_sentencepiece": op3_sentencepiece,
     "op6_token_counts": op6_token_counts,
+    "op7_nearest_vectors": op7_nearest_vectors,
     "op9_license_scan": op9_license_scan,
     "op2_mix_sources": op2_mix_sources,
     "op4_line_dedup": op4_line_dedup,
