@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, licenses, linededup, mixing, neardup, pieces, quality, tokens
+from . import ann, htmltext, langid, licenses, linededup, mixing, neardup, pieces, quality, tokens
 from ._common import materialize
 
 #: Folder of the public vocabulary files.
@@ -57,6 +57,10 @@ def op7_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
@@ -66,6 +70,7 @@ QUERIES = {
     "op3_sentencepiece": op3_sentencepiece,
     "op6_token_counts": op6_token_counts,
     "op7_nearest_vectors": op7_nearest_vectors,
+    "op8_html_text": op8_html_text,
     "op9_license_scan": op9_license_scan,
     "op2_mix_sources": op2_mix_sources,
     "op4_line_dedup": op4_line_dedup,
