@@ -166,20 +166,41 @@ def piece_rows(spark: SparkSession, table: PieceTable) -> DataFrame:
     return spark.createDataFrame([(p, i, s, rank[s]) for p, i, s in table.pieces], "piece string, id int, score double, rank int")
 
 
+def _bind(value: Column, f) -> Column:
+    """f of a value that is worked out once: a lambda's variable, where a plain column would be copied in."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _bit(k: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), k)
+
+
+def _pack_edge(rank: Column, at: Column, size: Column, id_: Column) -> Column:
+    """An edge as one long that sorts by rank, then place: 20 bits of rank, 6, 6, 20 bits of id."""
+    shift = lambda c, k: F.call_function("shiftleft", c.cast("long"), F.lit(k))
+    return shift(rank, 32) + shift(at, 26) + shift(size, 20) + id_
+
+
+def _bits_of(edge: Column, low: int, size: int) -> Column:
+    return F.call_function("shiftright", edge, F.lit(low)).bitwiseAND(F.lit((1 << size) - 1).cast("long")).cast("int")
+
+
 def _bpe_bounds(n: Column, edges: Column) -> Column:
-    """Bit i is set if a piece begins at code point i (bit n: the end)."""
-    one = F.lit(1).cast("long")
-    bit = lambda k: F.call_function("shiftleft", one, k)
+    """Bit i is set if a piece begins at code point i (bit n: the end).
+
+    An edge joins two neighbouring pieces if its ends are bounds and exactly one bound lies inside.
+    """
     joins = F.transform(
-        F.filter(edges, lambda e: e["len"] > 1),
-        lambda e: F.struct((bit(e["at"]) + bit(e["at"] + e["len"])).alias("ends"), (bit(e["at"] + e["len"]) - bit(e["at"] + 1)).alias("inner")),
+        F.filter(edges, lambda e: _bits_of(e, 20, 6) > 1),
+        lambda e: _bind(_bits_of(e, 26, 6), lambda at: F.struct((_bit(at) + _bit(at + _bits_of(e, 20, 6))).alias("ends"), (_bit(at + _bits_of(e, 20, 6)) - _bit(at + 1)).alias("inner"))),
     )
-    bind = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
-    step = lambda j: lambda b, _: b.bitwiseAND(
-        F.bitwise_not(F.coalesce(F.get(F.filter(j, lambda e: (b.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(b.bitwiseAND(e["inner"])) == 1)), F.lit(0))["inner"], F.lit(0).cast("long")))
-    )
-    folded = bind(joins, lambda j: F.when(F.size(j) == 0, bit(n + 1) - 1).otherwise(F.aggregate(F.sequence(F.lit(1), F.least(n, F.size(j) + n) - 1), bit(n + 1) - 1, step(j))))
-    return F.when(n == 1, F.lit(3).cast("long")).otherwise(folded)
+    def step(j: Column):
+        def merged(b: Column, _: Column) -> Column:
+            fits = F.filter(j, lambda e: (b.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(b.bitwiseAND(e["inner"])) == 1))
+            return F.coalesce(b - b.bitwiseAND(F.get(fits, F.lit(0))["inner"]), b)
+        return merged
+    whole = _bit(n + 1) - 1
+    return _bind(joins, lambda j: F.when(F.size(j) == 0, whole).otherwise(F.aggregate(F.sequence(F.lit(1), n - 1), whole, step(j))))
 
 
 def _unigram_bounds(n: Column, edges: Column, worst: float) -> Column:
@@ -195,42 +216,47 @@ def _unigram_bounds(n: Column, edges: Column, worst: float) -> Column:
         top = F.array_max(F.when(known, options).otherwise(F.concat(options, single)))
         return F.concat(best, F.array(F.struct(top["score"].alias("score"), (-top["at"]).alias("at"))).cast(state))
     best = F.aggregate(F.sequence(F.lit(1), n), F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("at"))).cast(state), grow)
-    one = F.lit(1).cast("long")
-    bit = lambda k: F.call_function("shiftleft", one, k)
+    bit = _bit
     back = lambda b: F.aggregate(
         F.sequence(F.lit(1), n),
         F.struct(n.alias("at"), bit(n).alias("bits")),
         lambda s, _: F.when(s["at"] == 0, s).otherwise(F.struct(F.get(b, s["at"])["at"].alias("at"), s["bits"].bitwiseOR(bit(F.get(b, s["at"])["at"])).alias("bits"))),
     )["bits"]
-    return F.get(F.transform(F.array(best), back), F.lit(0))
+    return _bind(best, back)
 
 
 def encode_segments(segments: DataFrame, table: PieceTable) -> DataFrame:
-    """(sid, seg) with their ids: explode, equi-join, group, fold. Segments of at most LONGEST code points."""
+    """(seg, ids, carry) of (sid, seg, carry): explode, equi-join, group, fold.
+
+    Segments have at most LONGEST code points and occur once; ``carry`` may be any column.
+    """
     spark = segments.sparkSession
     pieces = F.broadcast(piece_rows(spark, table))
-    n = F.length("seg")
-    starts = segments.select("sid", "seg", F.explode(F.sequence(F.lit(0), n - 1)).alias("at"))
-    spans = starts.select("sid", "seg", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(table.longest), n - F.col("at")))).alias("len"))
-    edges = spans.withColumn("piece", F.substring("seg", F.col("at") + 1, F.col("len"))).join(pieces, "piece", "left").where("id is not null or len = 1")
-    lattice = edges.groupBy("sid", "seg").agg(F.sort_array(F.collect_list(F.struct("rank", "at", "len", "id", "score"))).alias("e"))
-    lattice = lattice.withColumns({"n": n, "edges": F.filter("e", lambda e: e["id"].isNotNull())})
+    size = F.length("seg")
+    starts = segments.select("sid", "seg", "carry", F.explode(F.sequence(F.lit(0), size - 1)).alias("at"))
+    spans = starts.select("sid", "seg", "carry", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(table.longest), size - F.col("at")))).alias("len"))
+    # what is carried along rides on one row of each segment
+    spans = spans.select("sid", "seg", "at", "len", F.substring("seg", F.col("at") + 1, F.col("len")).alias("piece"), F.when((F.col("at") == 0) & (F.col("len") == 1), F.col("carry")).alias("carry"))
+    edges = spans.join(pieces, "piece", "left").where("id is not null or len = 1")
+    packed = F.when(F.col("id").isNotNull(), _pack_edge(F.col("rank"), F.col("at"), F.col("len"), F.col("id")))
+    scored = F.when(F.col("id").isNotNull(), F.struct("at", "len", "score"))
+    wanted = [F.sort_array(F.collect_list(packed)).alias("edges"), F.max("carry").alias("carry"), *([F.collect_list(scored).alias("scored")] if table.unigram else [])]
+    lattice = edges.groupBy("sid", "seg").agg(*wanted).withColumn("n", size)
     worst = min((s for _, _, s in table.pieces), default=0.0) - 10.0
-    bounds = _unigram_bounds(F.col("n"), F.col("edges"), worst) if table.unigram else _bpe_bounds(F.col("n"), F.col("edges"))
-    cut = lattice.withColumn("bits", bounds).withColumn(
-        "starts", F.filter(F.sequence(F.lit(0), F.col("n")), lambda i: F.call_function("shiftright", F.col("bits"), i).bitwiseAND(F.lit(1).cast("long")) == 1)
-    )
+    bounds = _unigram_bounds(F.col("n"), F.col("scored"), worst) if table.unigram else _bpe_bounds(F.col("n"), F.col("edges"))
+    places = _bind(bounds, lambda bits: F.filter(F.sequence(F.lit(0), F.col("n")), lambda i: F.call_function("shiftright", bits, i).bitwiseAND(F.lit(1).cast("long")) == 1))
     def spelled(at: Column) -> Column:
         if table.byte0 is None:
             return F.array(F.lit(table.unknown))
         hexed = F.hex(F.encode(F.substring("seg", at + 1, F.lit(1)), "UTF-8"))
         return F.transform(F.sequence(F.lit(1), F.length(hexed), F.lit(2)), lambda k: F.conv(F.substring(hexed, k, F.lit(2)), 16, 10).cast("int") + table.byte0)
-    def ids_at(at: Column, k: Column) -> Column:
-        size = F.get(F.col("starts"), k + 1) - at
-        found = F.get(F.filter("edges", lambda e: (e["at"] == at) & (e["len"] == size)), F.lit(0))["id"]
-        return F.when(found.isNotNull(), F.array(found)).otherwise(spelled(at))
-    inner = F.slice("starts", F.lit(1), F.size("starts") - 1)
-    return cut.select("sid", "seg", F.flatten(F.transform(inner, ids_at)).alias("ids"))
+    def ids_of(at: Column) -> Column:
+        def ids_at(a: Column, k: Column) -> Column:
+            span = a * 64 + F.get(at, k + 1) - a
+            found = _bind(span, lambda s: F.get(F.filter("edges", lambda e: _bits_of(e, 20, 12) == s), F.lit(0)))
+            return _bind(found, lambda e: F.when(e.isNotNull(), F.array(_bits_of(e, 0, 20))).otherwise(spelled(a)))
+        return F.flatten(F.transform(F.slice(at, F.lit(1), F.size(at) - 1), ids_at))
+    return lattice.select("seg", _bind(places, ids_of).alias("ids"), "carry")
 
 
 # ---------------------------------------------------------------- documents
@@ -323,7 +349,7 @@ def _write_out(table: PieceTable, columns: list[str]):
     return run
 
 
-def encode(docs: DataFrame, table: PieceTable, chunk_bytes: int = 32 << 20) -> DataFrame:
+def encode(docs: DataFrame, table: PieceTable, chunk_bytes: int = 48 << 20) -> DataFrame:
     """Rows of ``docs`` without their text, with n_tokens and ids (array of int)."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = 1 + size // chunk_bytes
@@ -331,10 +357,9 @@ def encode(docs: DataFrame, table: PieceTable, chunk_bytes: int = 32 << 20) -> D
     rest = [f for f in docs.schema.fields if f.name != "text"]
     out = T.StructType([*rest, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     blobs = docs.mapInArrow(_pack(chunks), "chunk int, blob binary").repartition("chunk")
-    listed = blobs.groupBy("chunk").applyInArrow(_list_segments(table), "chunk int, sid long, seg string").repartition("sid")
-    # min(chunk) keeps both uses of the exchange alike, so that it runs once
-    segments = listed.groupBy("sid", "seg").agg(F.min("chunk").alias("any")).drop("any")
-    encoded = listed.join(encode_segments(segments, table).hint("merge"), ["sid", "seg"]).select("chunk", "seg", "ids")
+    listed = blobs.groupBy("chunk").applyInArrow(_list_segments(table), "chunk int, sid long, seg string")
+    segments = listed.groupBy("sid", "seg").agg(F.collect_list("chunk").alias("carry"))
+    encoded = encode_segments(segments, table).select(F.explode("carry").alias("chunk"), "seg", "ids")
     return blobs.groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(_write_out(table, out.names), out)
 
 
