@@ -9,8 +9,10 @@ share a band are candidates, and every link is confirmed on the full sets.
 Groups of any size stay cheap without emitting all their pairs:
 1. equal sets fold into one class, represented by its smallest doc_id;
 2. each representative is verified against one pivot, the smallest representative of its bands;
-3. linked representatives are grouped; only candidates that are still in *different* groups are
-   verified, so that no link between different texts is lost;
+3. linked representatives are grouped; bands whose members are still in *different* groups are
+   contested. Their members are joined on the rarest shingles of their sets, with the positions that
+   a link of this similarity allows (prefix and positional filters, which lose no link), so that
+   near copies that differ too much never meet, however many share a band; what meets is verified;
 4. the groups are worked out again with those links.
 
 Defined results: a null or empty text, or one without words, has no shingles and links with
@@ -176,6 +178,18 @@ def _verify(p: NearDup):
     return run
 
 
+def _list_shingles(p: NearDup):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHashes()
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), p.words, hashes) for t in batch.column("text")]
+            owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            token = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), batch.column("doc_id").take(pa.array(owner, pa.int64()))], names=["token", "doc"])
+
+    return run
+
+
 def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union-find over the edges of one partition: each node with its smallest known partner."""
     root: dict[int, int] = {}
@@ -227,6 +241,31 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select("b", "b").distinct())
 
 
+def _prefix_pairs(contested: DataFrame, texts: DataFrame, p: NearDup) -> DataFrame:
+    """(a, b) with a > b: all pairs of contested documents (doc, n, g, minor) of different groups, one of
+    them minor, that can reach the similarity by their rarest shingles; any linked pair is among them.
+
+    Two sets of x and y shingles that are similar enough share at least ``need`` of them. With all
+    shingles in one order, their first common one stands at most at x - need and y - need.
+    """
+    t = p.similarity_pct
+    named = texts.join(contested.select(F.col("doc").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
+    listed = named.mapInArrow(_list_shingles(p), "token long, doc long")
+    often = listed.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    # shingles of one document alone come first in the order and join with nothing: only their number counts
+    own = listed.join(often.hint("merge"), "token").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("common"))
+    own = own.join(contested.hint("merge"), "doc").withColumn("alone", F.col("n") - F.size("common"))
+    furthest = F.col("n") - F.floor((F.col("n") * t + 99) / 100)
+    prefix = own.withColumn("common", F.slice("common", F.lit(1), F.greatest(F.lit(0).cast("long"), furthest - F.col("alone") + 1).cast("int")))
+    prefix = prefix.select("doc", "n", "g", "minor", "alone", F.posexplode("common").alias("i", "s")).select("doc", "n", "g", "minor", (F.col("alone") + F.col("i")).alias("at"), "s.token")
+    prefix = materialize(prefix, "prefixes")
+    one = prefix.where("minor").select("token", *[F.col(c).alias(f"{c}_a") for c in ("doc", "n", "g", "at")])
+    need = F.floor(((F.col("n_a") + F.col("n")) * t + 99 + t) / (100 + t))
+    can = (F.col("at_a") + need <= F.col("n_a")) & (F.col("at") + need <= F.col("n"))
+    meets = (F.col("g_a") != F.col("g")) & (~F.col("minor") | (F.col("doc_a") > F.col("doc"))) & can
+    return prefix.join(one.hint("merge"), "token").where(meets).select(F.greatest("doc_a", "doc").alias("a"), F.least("doc_a", "doc").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -245,16 +284,13 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     )
     first = materialize(shared.where("pivot < rep").groupBy(F.col("rep").alias("a")).agg(F.min("pivot").alias("b")), "pivot-pairs")
     links = verify(first)
-    # candidates in different groups: those outside the largest group of their band against all others
-    grouped = shared.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").withColumn("g", F.coalesce("component", "rep")).drop("component", "pivot")
+    # what is contested: the members of bands of several groups; minor: not in the largest of a band
+    grouped = shared.join(components(links).withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("g", F.coalesce("component", "rep")).drop("component", "pivot")
     grouped = materialize(grouped, "grouped-bands")
     per_band = grouped.groupBy("band", "g").agg(F.count("*").alias("k"))
     main = per_band.groupBy("band").agg(F.max_by("g", F.struct("k", -F.col("g"))).alias("main"), F.count("*").alias("groups")).where("groups > 1")
-    mixed = grouped.join(main, "band").withColumn("minor", F.col("g") != F.col("main")).drop("main", "groups")
-    few = mixed.where("minor").select("band", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("g").alias("g_a"))
-    near = (F.col("g_a") != F.col("g")) & (100 * F.least("n_a", "n") >= p.similarity_pct * F.greatest("n_a", "n")) & (~F.col("minor") | (F.col("a") > F.col("rep")))
-    rest = few.join(mixed, "band").where(near).select(F.greatest("a", "rep").alias("a"), F.least("a", "rep").alias("b")).distinct()
-    rest = rest.join(first, ["a", "b"], "left_anti")
+    contested = grouped.join(main.hint("merge"), "band").groupBy(F.col("rep").alias("doc")).agg(F.first("n").alias("n"), F.first("g").alias("g"), F.max(F.col("g") != F.col("main")).alias("minor"))
+    rest = materialize(_prefix_pairs(materialize(contested, "contested"), texts, p).join(first.hint("merge"), ["a", "b"], "left_anti"), "contested-pairs")
     groups = components(links.union(verify(rest)))
     of_class = classes.select("d1", "d2", "rep").join(groups.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("group"))
     alone = F.col("n_shingles") == 0
