@@ -265,7 +265,7 @@ def encode_segments(segments: DataFrame, table: PieceTable) -> DataFrame:
 def _pack(chunks: int, blob_bytes: int = 1 << 20):
     """Rows as compressed Arrow blobs of about ``blob_bytes``, each given to a chunk."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze = zstandard.ZstdCompressor(level=5)
         for batch in batches:
             at = 0
             each = max(1, int(batch.num_rows * blob_bytes / max(1, batch.nbytes)))
