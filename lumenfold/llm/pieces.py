@@ -83,15 +83,47 @@ def load_model(path: str) -> PieceTable:
 # ---------------------------------------------------------------- segments
 
 
-def segment_cutter(table: PieceTable):
-    pairs = table.pairs()
-
-    def cut(word: str) -> list[str]:
-        """The word's segments, cut wherever no piece has the two characters side by side."""
-        at = [0, *[i for i in range(1, len(word)) if word[i - 1 : i + 1] not in pairs], len(word)]
-        return [word[a:b] for a, b in zip(at, at[1:], strict=False)]
-
-    return cut
+class Cutter:
+    """Cuts words into segments wherever no piece has the two characters side by side; many at once."""
+
+    DENSE = 1024
+
+    def __init__(self, table: PieceTable):
+        pairs = np.array(sorted(self._key(ord(p[0]), ord(p[1])) for p in table.pairs()), np.uint64)
+        self.pairs = pairs
+        self.dense = np.zeros((self.DENSE, self.DENSE), bool)
+        for p in pairs.tolist():
+            if p >> 32 < self.DENSE and p & 0xFFFFFFFF < self.DENSE:
+                self.dense[p >> 32, p & 0xFFFFFFFF] = True
+
+    @staticmethod
+    def _code(c: int) -> int:
+        return 1 if c == ord(SPACE) else c  # the space sign among the low codes; a cut left out does no harm
+
+    def _key(self, a: int, b: int) -> int:
+        return self._code(a) << 32 | self._code(b)
+
+    def __call__(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """All segments of ``words`` (none empty) in order, and where each word's segments end."""
+        if not words:
+            return [], np.zeros(0, np.int64)
+        whole = "".join(words)
+        code = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        code[code == ord(SPACE)] = 1
+        a, b = code[:-1], code[1:]
+        linked = np.zeros(len(a), bool)
+        low = (a < self.DENSE) & (b < self.DENSE)
+        linked[low] = self.dense[a[low], b[low]]
+        if len(self.pairs) and not low.all():
+            key = (a[~low].astype(np.uint64) << np.uint64(32)) | b[~low].astype(np.uint64)
+            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+            linked[~low] = self.pairs[at] == key
+        ends = np.cumsum([len(w) for w in words])
+        cut = np.append(~linked, True)
+        cut[ends - 1] = True
+        stops = np.flatnonzero(cut) + 1
+        listed = stops.tolist()
+        return [whole[x:y] for x, y in zip([0, *listed], listed, strict=False)], np.searchsorted(stops, ends) + 1
 
 
 def words_of(text: str | None, table: PieceTable) -> list[str]:
@@ -290,41 +322,44 @@ def _segment_id(seg: str) -> int:
 
 
 def _list_segments(table: PieceTable):
-    cut = segment_cutter(table)
-
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        words: set[str] = set()
+        cut, found = Cutter(table), set()
         for blob in rows.column("blob"):
+            words: set[str] = set()
             for text in _unpack(blob.as_py()).column("text"):
                 words.update(words_of(text.as_py(), table))
-        segs = {s for w in words for s in cut(w) if len(s) <= LONGEST}
-        segs = list(segs)
+            found.update(cut(list(words))[0])
+        segs = [s for s in found if len(s) <= LONGEST]
         return pa.table({"chunk": pa.array([key[0].as_py()] * len(segs), pa.int32()), "sid": pa.array(map(_segment_id, segs), pa.int64()), "seg": pa.array(segs, pa.string())})
 
     return run
 
 
-class _WordIds(dict):
-    """Ids of each word seen, from the encodings of its segments; bounded in size."""
+class _WordIds:
+    """Ids of words from the encodings of their segments; remembers a bounded number of words."""
+
+    def __init__(self, table: PieceTable, segs: dict[str, int], ids: np.ndarray, offsets: np.ndarray, most: int = 150_000):
+        self.table, self.segs, self.ids, self.offsets, self.most = table, segs, ids.astype(np.int32).tobytes(), (offsets * 4).tolist(), most
+        self.cut, self.known, self.by_piece = Cutter(table), {}, None
 
-    def __init__(self, table: PieceTable, segs: dict[str, int], ids: np.ndarray, offsets: np.ndarray):
-        self.table, self.cut, self.segs, self.ids, self.offsets = table, segment_cutter(table), segs, ids, offsets
-        self.by_piece: dict | None = None
+    def _long(self, segment: str) -> bytes:
+        if self.by_piece is None:
+            self.by_piece = {p: (i, x) for p, i, x in self.table.pieces}
+        return array("i", (viterbi_long if self.table.unigram else merge_long)(segment, self.table, self.by_piece)).tobytes()
 
-    def __missing__(self, word: str) -> array:
-        out = array("i")
-        for s in self.cut(word):
-            if len(s) <= LONGEST:
-                k = self.segs[s]
-                out.frombytes(self.ids[self.offsets[k] : self.offsets[k + 1]].tobytes())
-            else:
-                if self.by_piece is None:
-                    self.by_piece = {p: (i, x) for p, i, x in self.table.pieces}
-                out.extend((viterbi_long if self.table.unigram else merge_long)(s, self.table, self.by_piece))
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = out
-        return out
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """A dictionary that has all of ``words``."""
+        if len(self.known) > self.most:
+            self.known = {}
+        new = [w for w in words if w not in self.known]
+        segments, ends = self.cut(new)
+        ids, at, segs = self.ids, self.offsets, self.segs
+        coded = [ids[at[k] : at[k + 1]] if (k := segs.get(s)) is not None else self._long(s) for s in segments]
+        start = 0
+        for w, end in zip(new, ends.tolist(), strict=True):
+            self.known[w] = coded[start] if end == start + 1 else b"".join(coded[start:end])
+            start = end
+        return self.known
 
 
 def _write_out(table: PieceTable, columns: list[str]):
@@ -336,12 +371,11 @@ def _write_out(table: PieceTable, columns: list[str]):
         made = []
         for blob in rows.column("blob"):
             part = _unpack(blob.as_py())
-            flat, at = array("i"), [0]
-            for text in part.column("text"):
-                for w in words_of(text.as_py(), table):
-                    flat.extend(words[w])
-                at.append(len(flat))
-            out = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.frombuffer(flat, np.int32)))
+            texts = [words_of(t.as_py(), table) for t in part.column("text")]
+            known = words.learn({w for t in texts for w in t})
+            coded = [b"".join([known[w] for w in t]) for t in texts]
+            at = np.cumsum([0, *(len(c) // 4 for c in coded)])
+            out = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.frombuffer(b"".join(coded), np.int32)))
             rest = part.select([c for c in columns if c not in ("n_tokens", "ids")])
             made.append(rest.append_column("n_tokens", pa.array(np.diff(at), pa.int64())).append_column("ids", out))
         return pa.concat_tables(made)
@@ -349,7 +383,7 @@ def _write_out(table: PieceTable, columns: list[str]):
     return run
 
 
-def encode(docs: DataFrame, table: PieceTable, chunk_bytes: int = 48 << 20) -> DataFrame:
+def encode(docs: DataFrame, table: PieceTable, chunk_bytes: int = 24 << 20) -> DataFrame:
     """Rows of ``docs`` without their text, with n_tokens and ids (array of int)."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = 1 + size // chunk_bytes
