@@ -132,8 +132,9 @@ class NormalizeModel(Model):
         return {"transform": self.name, "min": list(self.ranges.lows), "length": list(self.ranges.lengths)}
 
 
-#: A pixel's place as one number, for ties.
-PLACE = F.col("y").cast("long") * 2**32 + F.col("x")
+def _place() -> Column:
+    """A pixel's place as one number, for ties."""
+    return F.col("y").cast("long") * 2**32 + F.col("x")
 
 
 def _recolored(df: DataFrame, coordinates: list[Column], clusters: Clusters, colors: list, name: str) -> DataFrame:
@@ -153,7 +154,7 @@ class Cluster(Estimator):
     def _fit(self, dataset: DataFrame) -> ClusterModel:
         dims, storage = shape_of(dataset)
         most = px.STORAGE[storage]
-        points = Points.of(dataset, [px.raw(c, storage) for c in px.channels(F.col("v"), dims)], PLACE, mask=self.mask)
+        points = Points.of(dataset, [px.raw(c, storage) for c in px.channels(F.col("v"), dims)], _place(), mask=self.mask)
         clusters = with_persisted(self.strategy)(points)
         return ClusterModel(clusters, self.palette(clusters, most))
 
@@ -188,7 +189,7 @@ class SaturationCluster(Estimator):
         rows = dataset if self.mask is None else dataset.where(self.mask)
         made = []
         for what, which, channels in (("gray", gray, [value]), ("coloured", ~gray, color)):
-            points = Points.of(rows, px.quantize(channels, "f32"), PLACE, mask=which)
+            points = Points.of(rows, px.quantize(channels, "f32"), _place(), mask=which)
             try:
                 made.append(with_persisted(self.strategy)(points))
             except EmptyClusterError as e:
