@@ -46,6 +46,8 @@ class Template:
     min_tokens: int = 3
     #: a block with more than this share of its characters in links is navigation
     max_link_share: float = 0.5
+    #: parts that a host's pages are dealt into where they meet its template
+    salts: int = 16
 
 
 #: Elements that begin and end a block of text.
@@ -285,6 +287,7 @@ def extract(pages: DataFrame, cfg: Template = Template()) -> DataFrame:
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
     at = new_folder(spark, "templates")
     deduce(rows.select("host", F.xxhash64("page_id", "url").alias("key"), "html"), cfg).write.parquet(at)
-    templates = spark.read.parquet(at)
-    joined = rows.join(templates.hint("merge"), "host", "left")
+    # templates are small and exist for hosts of many pages only: each goes to every salt of its pages
+    templates = spark.read.parquet(at).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(cfg.salts - 1))))
+    joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(cfg.salts)).cast("int")).join(templates.hint("merge"), ["host", "salt"], "left")
     return joined.mapInArrow(_extract(cfg), f"page_id {dict(rows.dtypes)['page_id']}, url string, text string")
