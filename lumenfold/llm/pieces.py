@@ -338,7 +338,7 @@ def _list_segments(table: PieceTable):
 class _WordIds:
     """Ids of words from the encodings of their segments; remembers a bounded number of words."""
 
-    def __init__(self, table: PieceTable, segs: dict[str, int], ids: np.ndarray, offsets: np.ndarray, most: int = 150_000):
+    def __init__(self, table: PieceTable, segs: dict[str, int], ids: np.ndarray, offsets: np.ndarray, most: int = 60_000):
         self.table, self.segs, self.ids, self.offsets, self.most = table, segs, ids.astype(np.int32).tobytes(), (offsets * 4).tolist(), most
         self.cut, self.known, self.by_piece = Cutter(table), {}, None
 
@@ -398,17 +398,13 @@ def encode(docs: DataFrame, table: PieceTable, chunk_bytes: int = 24 << 20) -> D
 
 
 def decode(rows: DataFrame, table: PieceTable, ids: str = "ids") -> DataFrame:
-    """``rows`` with the text of their ids as ``decoded``; ids outside the vocabulary are skipped."""
-    names, prefix = table.names, table.dummy_prefix
+    """``rows`` with the text of their ids as ``decoded``; ids outside the vocabulary are skipped.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for one in batch.column(ids):
-                raw = b"".join([names[i] for i in one.values.to_pylist() if i is not None and 0 <= i < len(names)]) if one.is_valid else b""
-                text = raw.decode("utf-8", "replace").replace(SPACE, " ")
-                texts.append(text[1:] if prefix and text.startswith(" ") else text)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
-
-    rows = rows.drop("decoded")
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
+    Native: the pieces' bytes, spelled in hexadecimal, are one literal array as long as the vocabulary.
+    """
+    spelled = F.split(F.lit(",".join(n.hex() for n in table.names)), ",")
+    joined = F.array_join(F.transform(F.coalesce(F.col(ids), F.array().cast("array<int>")), lambda i: F.get(spelled, i)), "")
+    text = F.replace(F.make_valid_utf8(F.unhex(joined).cast("string")), F.lit(SPACE), F.lit(" "))
+    if table.dummy_prefix:
+        text = F.when(F.startswith(text, F.lit(" ")), F.substring(text, 2, 2**31 - 1)).otherwise(text)
+    return rows.withColumn("decoded", text)
