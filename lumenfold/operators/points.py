@@ -168,12 +168,12 @@ def assign_columns(df: DataFrame, coordinates: Sequence[Column], centers: Sequen
         raise ValueError("there are no centers")
     if len(centers) * len(coordinates) > UNROLLED:
         return nearest_of_array(df, F.array(*coordinates), centers, cid, d2)
-    d = [F.col(f"__d{i}") for i in range(len(centers))]
-    near = df.withColumns({f"__d{i}": squared_distance(coordinates, c) for i, c in enumerate(centers)}).withColumn(d2, F.least(*d) if len(d) > 1 else d[0])
+    d = [F.col(f"__to{i}") for i in range(len(centers))]
+    near = df.withColumns({f"__to{i}": squared_distance(coordinates, c) for i, c in enumerate(centers)}).withColumn(d2, F.least(*d) if len(d) > 1 else d[0])
     which = F.lit(len(d) - 1)
     for i in range(len(d) - 2, -1, -1):
         which = F.when(d[i] == F.col(d2), F.lit(i)).otherwise(which)
-    return near.withColumn(cid, which).drop(*[f"__d{i}" for i in range(len(d))])
+    return near.withColumn(cid, which).drop(*[f"__to{i}" for i in range(len(d))])
 
 
 def nearest_of_array(df: DataFrame, vector: Column, centers: Sequence[Vector], cid: str = "cid", d2: str = "d2") -> DataFrame:

@@ -143,6 +143,16 @@ def test_cluster_paints_by_nearest_center(spark):
     assert "clusters-error" in cluster.log()
 
 
+def test_painting_equals_numpy(spark):
+    """More clusters than coordinates, so that every distance counts."""
+    rng = np.random.default_rng(8)
+    centers = [tuple(c) for c in rng.integers(0, 256, (9, 3)).astype(float)]
+    colors = [tuple(c) for c in rng.integers(0, 256, (9, 3)) / 255]
+    model = stages.ClusterModel(cl.Clusters(tuple((c,) for c in centers), 0.0), colors)
+    near = ((RGB8.reshape(-1, 1, 3).astype(float) - np.array(centers)) ** 2).sum(-1).argmin(1).reshape(13, 17)
+    assert np.allclose(array_of(model.transform(image(spark, RGB8))), np.array(colors)[near])
+
+
 def test_saturation_cluster(spark):
     rng = np.random.default_rng(3)
     data = np.zeros((8, 16, 3), np.uint8)
