@@ -62,8 +62,21 @@ def filled_up(points: Points, centers: Sequence[Vector], k: int, more: Replaceme
 
 
 def mean_and_farthest(maximin: bool = False) -> InitialCenters:
-    """The mean of all points, then the farthest ones."""
-    return lambda points, k, _: filled_up(points, [points.mean()], k, farthest(maximin))
+    """The mean of all points, then the farthest ones.
+
+    More centers only add to fewer, so what is found once for some points is kept with them: a
+    search over the number of clusters looks for each center once.
+    """
+    def select(points: Points, k: int, _: Replacement) -> list[Vector]:
+        found = points.known.setdefault(("mean and farthest", maximin), [])
+        while len(found) < k:
+            new = points.farthest(found, maximin) if found else points.mean()
+            if new in found:
+                raise CannotSelectInitialCentersError("a center was proposed twice")
+            found.append(new)
+        return sorted(found[:k])
+
+    return select
 
 
 def random_centers(seed: int = 0) -> InitialCenters:

@@ -30,6 +30,8 @@ class Points:
     df: DataFrame
     dims: int
     _size: int | None = field(default=None, repr=False)
+    #: what strategies have found out about these points
+    known: dict = field(default_factory=dict, repr=False)
 
     @classmethod
     def of(cls, df: DataFrame, vector: str | Sequence[Column], id_: str | Column = "id", dims: int | None = None, mask: Column | None = None) -> Points:
