@@ -390,8 +390,9 @@ def encode(docs: DataFrame, table: PieceTable, chunk_bytes: int = 24 << 20) -> D
     docs = docs.drop("n_tokens", "ids")
     rest = [f for f in docs.schema.fields if f.name != "text"]
     out = T.StructType([*rest, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    blobs = docs.mapInArrow(_pack(chunks), "chunk int, blob binary").repartition("chunk")
-    listed = blobs.groupBy("chunk").applyInArrow(_list_segments(table), "chunk int, sid long, seg string")
+    blobs = docs.mapInArrow(_pack(chunks), "chunk int, blob binary").repartition(2 * chunks, "chunk")
+    # counts of their own: a segment becomes dozens of lattice rows, which its shuffled size does not tell
+    listed = blobs.groupBy("chunk").applyInArrow(_list_segments(table), "chunk int, sid long, seg string").repartition(4 * chunks, "sid")
     segments = listed.groupBy("sid", "seg").agg(F.collect_list("chunk").alias("carry"))
     encoded = encode_segments(segments, table).select(F.explode("carry").alias("chunk"), "seg", "ids")
     return blobs.groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(_write_out(table, out.names), out)
