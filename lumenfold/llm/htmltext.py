@@ -67,11 +67,13 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 #: Parts of class names and ids that tell such regions.
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adbox adslot sponsor sponsored promo promotion banner nav navbar navigation menu "
-    "breadcrumb breadcrumbs header masthead topbar footer bottombar colophon sidebar aside widget widgets related recommended "
+    "breadcrumb breadcrumbs header masthead topbar footer bottombar colophon sidebar side aside widget widgets related recommended "
     "recommendations share sharing social comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice "
     "notification alert popup modal overlay newsletter subscribe subscription signup login search form pagination pager toolbar "
-    "copyright legal disclaimer skip hidden".split()
+    "copyright disclaimer skip hidden".split()
 )
+#: Those that tell an ``article`` element that is not the page's own.
+NOT_OWN = frozenset("comment comments commentlist reply replies respond related recommended recommendations teaser ad advert sponsored promo".split())
 #: Elements that a start tag of the same kind closes.
 CLOSES = {
     "li": ("li",), "p": ("p",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",),
@@ -80,27 +82,34 @@ CLOSES = {
 _MARKUP = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?][^>]*>?|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _PARTS = re.compile(r"[a-z0-9]+")
+_HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
-def _names(attrs: str) -> tuple[str, bool]:
-    """The element's name for its path, and whether the attributes give it a role of its own."""
-    label, odd = "", False
+def _names(attrs: str) -> tuple[str, bool, set[str]]:
+    """The element's name for its path, whether its role or state sets it apart, and the parts of its names."""
+    label, odd, names = "", False, set()
     for key, value in _ATTR.findall(attrs):
-        key, value = key.lower(), value.strip("\"'").lower()
+        key, value = key.lower(), value.strip("\"'")
         if key in ("class", "id"):
-            parts = _PARTS.findall(value)
-            odd |= not NAMES.isdisjoint(parts)
+            names.update(_PARTS.findall(_HUMP.sub("-", value).lower()))
+            value = value.lower()
             if key == "class":
                 label += "." + ".".join(sorted(set(value.split())))
         elif key == "role":
-            odd |= value in ROLES
+            odd |= value.lower() in ROLES
         elif key == "hidden":
             odd = True
         elif key == "aria-hidden":
-            odd |= value == "true"
+            odd |= value.lower() == "true"
         else:
-            odd |= "display:none" in value.replace(" ", "")
-    return label, odd
+            odd |= "display:none" in value.lower().replace(" ", "")
+    return label, odd, names
+
+
+def _is_not_own(path: str) -> bool:
+    """Whether a class of a path's last element begins with a word that tells what is not the page's article."""
+    heads = [_PARTS.match(c) for c in path.rpartition("/")[2].split(".")[1:]]
+    return any(h and h[0] in NOT_OWN for h in heads)
 
 
 @dataclass
@@ -108,8 +117,9 @@ class Block:
     path: str
     text: str
     links: int
-    #: inside a region with a role of its own; inside an article or main element
+    #: inside a region set apart by its element, role or state; by its name; inside an article or main element
     odd: bool
+    named: bool
     article: bool
 
 
@@ -117,7 +127,7 @@ def read_page(html: str | None) -> tuple[Counter, list[Block]]:
     """Counts of the page's structural tokens, and its blocks of text in page order."""
     tokens: Counter = Counter()
     blocks: list[Block] = []
-    stack: list[tuple[str, str, bool, bool, bool]] = []  # tag, path, odd, article, link
+    stack: list[tuple[str, str, bool, bool, bool, bool]] = []  # tag, path, odd, named, article, link
     parts: list[str] = []
     links = 0
     # text collected so far belongs to the block element that was open when it began
@@ -126,14 +136,14 @@ def read_page(html: str | None) -> tuple[Counter, list[Block]]:
         text = " ".join(_html.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            _, path, odd, article, _ = next((e for e in reversed(stack) if e[0] in BLOCK), ("", "", False, False, False))
-            blocks.append(Block(path, text, links, odd, article))
+            _, path, odd, named, article, _ = next((e for e in reversed(stack) if e[0] in BLOCK), ("", "", False, False, False, False))
+            blocks.append(Block(path, text, links, odd, named, article))
         links = 0
 
     def add(text: str) -> None:
         nonlocal links
         parts.append(text)
-        if stack and stack[-1][4]:
+        if stack and stack[-1][5]:
             links += len(text.strip())
 
     html = html or ""
@@ -174,15 +184,20 @@ def read_page(html: str | None) -> tuple[Counter, list[Block]]:
                         break
                     if e[0] in BLOCK and e[0] not in CLOSES and e[0] not in ("tbody", "thead", "tfoot"):
                         break
-        label, odd = _names(m["attrs"]) if m["attrs"] else ("", False)
-        _, path, was_odd, was_article, was_link = stack[-1] if stack else ("", "", False, False, False)
+        label, odd, names = _names(m["attrs"]) if m["attrs"] else ("", False, set())
+        _, path, was_odd, was_named, was_article, was_link = stack[-1] if stack else ("", "", False, False, False, False)
         if tag in BLOCK:
             path = f"{path}/{tag}{label}"
             tokens[path] += 1
-        is_article = was_article or tag in ("article", "main")
+        # a page's own article or main element is not set apart by names, its own or those around it
+        named = was_named or not names.isdisjoint(NAMES)
+        own = tag == "main" or tag == "article" and not was_article and not any(_is_not_own(p) for p in (path, *(e[1] for e in stack)))
+        if own or tag in ("html", "body"):
+            named = False
+        is_article = was_article or own
         # a header element inside an article holds its title
         own_role = tag in ROLE_TAGS and not (tag == "header" and was_article)
-        entry = (tag, path, was_odd or odd or own_role, is_article, was_link or tag == "a")
+        entry = (tag, path, was_odd or odd or own_role, named, is_article, was_link or tag == "a")
         if tag not in EMPTY and not m["attrs"].rstrip().endswith("/"):
             stack.append(entry)
     add(html[at:])
@@ -248,9 +263,12 @@ def deduce(pages: DataFrame, cfg: Template = Template()) -> DataFrame:
 def main_text(html: str | None, texts: set[int], slots: set[str], cfg: Template = Template()) -> str:
     """The data of the page's article, blocks joined by two line feeds."""
     _, blocks = read_page(html)
-    data = [b for b in blocks if not b.odd and b.links <= cfg.max_link_share * len(b.text) and (b.article or _half(_text_token(b), 0) not in texts)]
-    if any(b.article for b in data):
-        return "\n\n".join(b.text for b in data if b.article)
+    own = [b for b in blocks if b.article and not b.odd and not b.named]
+    if own:
+        return "\n\n".join(b.text for b in own)
+    plain = [b for b in blocks if not b.odd and b.links <= cfg.max_link_share * len(b.text) and _half(_text_token(b), 0) not in texts]
+    # where names set everything apart, they are those of the page's layout
+    data = [b for b in plain if not b.named] or plain
     # the text below each container; of the template's slots if the page has any
     below: Counter = Counter()
     for b in data:

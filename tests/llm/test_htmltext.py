@@ -25,7 +25,9 @@ def test_the_article_alone():
     [
         (None, ""), ("", ""), ("<html><body></body></html>", ""), ("plain words", "plain words"), ("<p>a<p>b", "a\n\nb"), ("<p>a</p", "a"),
         ("<main><p>a</p><div class='share'>x</div></main>", "a"), ("<article><p>one</p><div class=sidebar><p>no</p></div><p>two</p></article>", "one\n\ntwo"),
-        ("<article><header><h1>H</h1></header><p>b</p></article>", "H\n\nb"), ("<article><ul><li>x<li>y</ul><p><a href=1>all link</a></p></article>", "x\n\ny"),
+        ("<article><header><h1>H</h1></header><p>b</p></article>", "H\n\nb"), ("<article><ul><li>x<li>y</ul><p><a href=1>all link</a></p></article>", "x\n\ny\n\nall link"),
+        ("<div class='layout with-sidebar'><article class='post hasComments'><p>own</p></article><section id=comments class=comments><article><p>theirs</p></article></section></div>", "own"),
+        ("<div class='page sideBar'><div class=text><p>all of it</p></div></div>", "all of it"), ("<article><p>a</p><article class=comment><p>c</p></article></article>", "a"),
         ("<article><script>if (a < b) { '<p>' }</script><p>t</p></article>", "t"), ("<article><p hidden>h</p><p style='display: none'>n</p><p>v</p></article>", "v"),
         ("<body><div id=menu><a>m</a></div><div class=content><p>" + "long text " * 9 + "</p></div><div>tail</div>", ("long text " * 9).strip()),
     ],
