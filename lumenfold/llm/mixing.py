@@ -51,14 +51,17 @@ def targets(totals: dict[str | None, int], weights: tuple[int, ...] = (3, 1, 2),
     return found
 
 
-def mix(docs: DataFrame, size: Column | None = None, source: str = "source", seed: int = 0, ranges: int = 4096, **how) -> DataFrame:
+def mix(docs: DataFrame, size: Column | None = None, source: str = "source", seed: int = 0, ranges: int | None = None, **how) -> DataFrame:
     """Rows of ``docs`` with size, source_size, target, epochs (times taken whole), part (words of one more
     time, up to the cut) and taken (all words taken)."""
     spark = docs.sparkSession
+    if ranges is None:  # so many that one holds about 50,000 rows at most
+        ranges = max(4096, docs.count() // 50_000)
+    bits = max(1, (ranges - 1).bit_length())
     kept = [c for c in docs.columns if c not in OUTPUT]
     key = F.xxhash64(F.lit(seed), F.col("doc_id"))
     sized = docs.select(*kept, (word_count(F.col("text")) if size is None else size).alias("size"), F.col(source).alias("__m_source"), key.alias("__m_key"))
-    sized = sized.withColumn("__m_range", F.pmod(F.floor(F.col("__m_key") / F.lit(2.0**64 / ranges)), F.lit(ranges)).cast("int"))
+    sized = sized.withColumn("__m_range", F.shiftrightunsigned("__m_key", 64 - bits))
     by_range = sized.groupBy("__m_source", "__m_range").agg(F.sum("size").alias("__m_sum"))
     totals = {r[0]: r[1] for r in by_range.groupBy("__m_source").agg(F.sum("__m_sum")).collect()}
     goal = spark.createDataFrame(
