@@ -38,6 +38,8 @@ from pyspark.sql import types as T
 
 SPACE = "▁"
 LONGEST = 60
+#: between the pieces of a vocabulary in one literal; no piece holds it
+SEPARATOR = "\ue000\ue001"
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -317,20 +319,18 @@ def _unpack(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_all()
 
 
-def _segment_id(seg: str) -> int:
-    return int.from_bytes(xxhash.xxh3_64_digest(seg.encode()), "big", signed=True)
-
-
 def _list_segments(table: PieceTable):
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        cut, found = Cutter(table), set()
+        cut, seen, found = Cutter(table), set(), set()
         for blob in rows.column("blob"):
             words: set[str] = set()
             for text in _unpack(blob.as_py()).column("text"):
                 words.update(words_of(text.as_py(), table))
+            words -= seen
+            seen |= words
             found.update(cut(list(words))[0])
         segs = [s for s in found if len(s) <= LONGEST]
-        return pa.table({"chunk": pa.array([key[0].as_py()] * len(segs), pa.int32()), "sid": pa.array(map(_segment_id, segs), pa.int64()), "seg": pa.array(segs, pa.string())})
+        return pa.table({"chunk": pa.array([key[0].as_py()] * len(segs), pa.int32()), "seg": pa.array(segs, pa.string())})
 
     return run
 
@@ -338,7 +338,7 @@ def _list_segments(table: PieceTable):
 class _WordIds:
     """Ids of words from the encodings of their segments; remembers a bounded number of words."""
 
-    def __init__(self, table: PieceTable, segs: dict[str, int], ids: np.ndarray, offsets: np.ndarray, most: int = 60_000):
+    def __init__(self, table: PieceTable, segs: dict[str, int], ids: np.ndarray, offsets: np.ndarray, most: int = 500_000):
         self.table, self.segs, self.ids, self.offsets, self.most = table, segs, ids.astype(np.int32).tobytes(), (offsets * 4).tolist(), most
         self.cut, self.known, self.by_piece = Cutter(table), {}, None
 
@@ -383,7 +383,7 @@ def _write_out(table: PieceTable, columns: list[str]):
     return run
 
 
-def encode(docs: DataFrame, table: PieceTable, chunk_bytes: int = 24 << 20) -> DataFrame:
+def encode(docs: DataFrame, table: PieceTable, chunk_bytes: int = 36 << 20) -> DataFrame:
     """Rows of ``docs`` without their text, with n_tokens and ids (array of int)."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = 1 + size // chunk_bytes
@@ -392,20 +392,29 @@ def encode(docs: DataFrame, table: PieceTable, chunk_bytes: int = 24 << 20) -> D
     out = T.StructType([*rest, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     blobs = docs.mapInArrow(_pack(chunks), "chunk int, blob binary").repartition(2 * chunks, "chunk")
     # counts of their own: a segment becomes dozens of lattice rows, which its shuffled size does not tell
-    listed = blobs.groupBy("chunk").applyInArrow(_list_segments(table), "chunk int, sid long, seg string").repartition(4 * chunks, "sid")
+    listed = blobs.groupBy("chunk").applyInArrow(_list_segments(table), "chunk int, seg string").repartition(4 * chunks, "seg").withColumn("sid", F.xxhash64("seg"))
     segments = listed.groupBy("sid", "seg").agg(F.collect_list("chunk").alias("carry"))
-    encoded = encode_segments(segments, table).select(F.explode("carry").alias("chunk"), "seg", "ids")
+    # ids of small vocabularies travel as short integers
+    ids = F.col("ids").cast("array<smallint>") if len(table.names) < 1 << 15 else F.col("ids")
+    encoded = encode_segments(segments, table).select(F.explode("carry").alias("chunk"), "seg", ids.alias("ids"))
     return blobs.groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(_write_out(table, out.names), out)
 
 
 def decode(rows: DataFrame, table: PieceTable, ids: str = "ids") -> DataFrame:
     """``rows`` with the text of their ids as ``decoded``; ids outside the vocabulary are skipped.
 
-    Native: the pieces' bytes, spelled in hexadecimal, are one literal array as long as the vocabulary.
+    Native: the pieces are one literal array as long as the vocabulary.
     """
-    spelled = F.split(F.lit(",".join(n.hex() for n in table.names)), ",")
-    joined = F.array_join(F.transform(F.coalesce(F.col(ids), F.array().cast("array<int>")), lambda i: F.get(spelled, i)), "")
-    text = F.replace(F.make_valid_utf8(F.unhex(joined).cast("string")), F.lit(SPACE), F.lit(" "))
+    listed = F.coalesce(F.col(ids), F.array().cast("array<int>"))
+    joined = lambda parts: F.array_join(F.transform(listed, lambda i: F.get(F.split(F.lit(SEPARATOR.join(parts)), SEPARATOR), i)), "")
+    # pieces that are text by themselves are joined as they are; the others, bytes from 128 on, in hexadecimal
+    alone = [n.decode("utf-8", "ignore") for n in table.names]
+    parts = [i for i, (n, t) in enumerate(zip(table.names, alone, strict=True)) if t.encode() != n]
+    text = joined(alone)
+    if parts:
+        hexed = F.make_valid_utf8(F.unhex(joined([n.hex() for n in table.names])).cast("string"))
+        text = F.when(F.exists(listed, lambda i: i.between(min(parts), max(parts))), hexed).otherwise(text)
+    text = F.replace(text, F.lit(SPACE), F.lit(" "))
     if table.dummy_prefix:
         text = F.when(F.startswith(text, F.lit(" ")), F.substring(text, 2, 2**31 - 1)).otherwise(text)
     return rows.withColumn("decoded", text)

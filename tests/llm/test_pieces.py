@@ -40,6 +40,15 @@ def test_odd_rows(spark):
     assert pieces.encode(empty_documents(spark), table).count() == 0
 
 
+@needs_model
+def test_decoding_any_ids(spark):
+    table = pieces.load_model(MODEL)
+    byte = lambda b: table.byte0 + b
+    rows = [(1, None), (2, []), (3, [byte(0xC3), byte(0xA9)]), (4, [byte(0xC3)]), (5, [10**6, byte(65), -1]), (6, [0, 1, 2]), (7, [byte(10), byte(9), byte(0)])]
+    got = {r.i: r.decoded for r in pieces.decode(spark.createDataFrame(rows, "i int, ids array<int>"), table).collect()}
+    assert got == {1: "", 2: "", 3: "é", 4: "\ufffd", 5: "A", 6: "", 7: "\n\t\x00"}
+
+
 def _score(parts, scores):
     return sum(scores[p] for p in parts)
 
