@@ -8,7 +8,8 @@ share a band are candidates, and every link is confirmed on the full sets.
 
 Groups of any size stay cheap without emitting all their pairs:
 1. equal sets fold into one class, represented by its smallest doc_id;
-2. each representative is verified against one pivot, the smallest representative of its bands;
+2. each representative is verified against one pivot: of those it shares a band with, the one that
+   shares bands with the most others, which is near the center of its copies;
 3. linked representatives are grouped; bands whose members are still in *different* groups are
    contested. Their members are joined on the rarest shingles of their sets, with the positions that
    a link of this similarity allows (prefix and positional filters, which lose no link), so that
@@ -273,8 +274,11 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     filled = signed.where("n_shingles > 0 and doc_id is not null")
     classes = filled.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     members = classes.select("rep", "n", F.explode("bands").alias("band"))
-    buckets = members.groupBy("band").agg(F.min("rep").alias("pivot"), F.count("*").alias("size")).where("size > 1").drop("size")
-    shared = materialize(members.join(buckets.hint("merge"), "band"), "shared-bands")
+    buckets = members.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    sized = materialize(members.join(buckets.hint("merge"), "band"), "shared-bands")
+    # who shares bands with many is at the center of its copies
+    shared = materialize(sized.join(sized.groupBy("rep").agg(F.sum("size").alias("weight")).hint("merge"), "rep").drop("size"), "weighted-bands")
+    pivots = shared.groupBy("band").agg(F.max(F.struct("weight", (-F.col("rep")).alias("rep"))).alias("top"))
     texts = materialize(docs.join(shared.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidate-texts")
     verify = lambda pairs: materialize(
         pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
@@ -282,10 +286,11 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
         .mapInArrow(_verify(p), "a long, b long"),
         "links",
     )
-    first = materialize(shared.where("pivot < rep").groupBy(F.col("rep").alias("a")).agg(F.min("pivot").alias("b")), "pivot-pairs")
+    chosen = shared.select("band", "rep").join(pivots.hint("merge"), "band").where(F.col("rep") != -F.col("top.rep")).groupBy("rep").agg(F.max("top").alias("top"))
+    first = materialize(chosen.select(F.greatest("rep", -F.col("top.rep")).alias("a"), F.least("rep", -F.col("top.rep")).alias("b")).distinct(), "pivot-pairs")
     links = verify(first)
     # what is contested: the members of bands of several groups; minor: not in the largest of a band
-    grouped = shared.join(components(links).withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("g", F.coalesce("component", "rep")).drop("component", "pivot")
+    grouped = shared.join(components(links).withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("g", F.coalesce("component", "rep")).drop("component", "weight")
     grouped = materialize(grouped, "grouped-bands")
     per_band = grouped.groupBy("band", "g").agg(F.count("*").alias("k"))
     main = per_band.groupBy("band").agg(F.max_by("g", F.struct("k", -F.col("g"))).alias("main"), F.count("*").alias("groups")).where("groups > 1")
