@@ -13,7 +13,9 @@ add up per task before any shuffle, and a host of any size is never gathered in
 The main text of a page is the data of its article: of the outermost ``article`` or ``main``
 elements, else of the template's slot with the most text, else of the element with the most text;
 without the regions that bear a role of their own (menus, headers, footers, sidebars, notices,
-adverts, forms, comments), by element, role or name, and without blocks that are mostly links.
+adverts, forms, comments), by element, role or name, without text of the template, and outside
+articles without blocks that are mostly links. An article whose h1 headings, or all of whose text,
+would go as text of the template is a copied article and stays whole.
 
 Defined results: a null or empty html, or one without text, gives an empty text; a null or odd url
 has the empty host; unclosed and misplaced tags end where an enclosing or block element does;
@@ -230,7 +232,7 @@ def _list_tokens(most: int = 200_000):
             for host, key, page in zip(batch.column("host").to_pylist(), batch.column("key").to_pylist(), batch.column("html"), strict=True):
                 tokens, blocks = read_page(page.as_py())
                 found = [(path, path, False, n) for path, n in tokens.items()]
-                found += [(t, t.split("\x00", 1)[0], True, n) for t, n in Counter(_text_token(b) for b in blocks if not b.article).items()]
+                found += [(t, t.split("\x00", 1)[0], True, n) for t, n in Counter(_text_token(b) for b in blocks).items()]
                 for token, path, text, n in found:
                     e = held.setdefault((host, _half(token, 0)), [path, text, 0, 0, 0])
                     e[2] ^= _half(f"{key}:{n}", 1)
@@ -265,7 +267,11 @@ def main_text(html: str | None, texts: set[int], slots: set[str], cfg: Template
     _, blocks = read_page(html)
     own = [b for b in blocks if b.article and not b.odd and not b.named]
     if own:
-        return "\n\n".join(b.text for b in own)
+        data = [b for b in own if not texts or _half(_text_token(b), 0) not in texts]
+        # an article that is repeated with its headings, or without a rest, is a copy and no template
+        heads = [b for b in own if b.path.rpartition("/")[2].split(".")[0] == "h1"]
+        copied = not data or heads and not any(b in data for b in heads)
+        return "\n\n".join(b.text for b in (own if copied else data))
     plain = [b for b in blocks if not b.odd and b.links <= cfg.max_link_share * len(b.text) and _half(_text_token(b), 0) not in texts]
     # where names set everything apart, they are those of the page's layout
     data = [b for b in plain if not b.named] or plain

@@ -69,3 +69,13 @@ def test_odd_rows(spark):
     by = {r.page_id: r.text for r in got.collect()}
     assert by[1] == by[2] == "" and by[None] == "x" and by[3].startswith("Title & more") and by[4].count("para") == 20_000
     assert htmltext.extract(df.limit(0)).count() == 0
+
+
+def test_a_template_serves_inside_articles_too(spark):
+    box = "<div class=box><p>Write to us at any time</p><p>We answer every letter</p></div>"
+    rows = [(i, f"http://a.example/{i}", f"<html><body><article><h1>Title {i}</h1><p>Own words {i * 3}</p>{box}</article></body></html>") for i in range(8)]
+    # one article under many addresses, with an advert that differs
+    rows += [(100 + i, f"http://b.example/{i}", f"<html><body><i>{i}</i><article><h1>Same</h1><p>one</p><p>two</p><p>{i} visits</p></article></body></html>") for i in range(8)]
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Title {i}\n\nOwn words {i * 3}" for i in range(8))
+    assert all(got[100 + i] == f"Same\n\none\n\ntwo\n\n{i} visits" for i in range(8))
