@@ -10,11 +10,13 @@ slots, and its text tokens are text that the site repeats. What a page has in th
 Occurrence vectors are compared by a 128-bit exclusive-or of hashes of (page, count), so that they
 add up per task before any shuffle, and a host of any size is never gathered in one place.
 
-The main text of a page is the data of its article: of the outermost ``article`` or ``main``
-elements, else of the template's slot with the most text, else of the element with the most text;
-without the regions that bear a role of their own (menus, headers, footers, sidebars, notices,
-adverts, forms, comments), by element, role or name, without text of the template, and outside
-articles without blocks that are mostly links. An article whose h1 headings, or all of whose text,
+The main text of a page is the data of its article, of the outermost ``article`` or ``main``
+elements, else all its data; without the regions that bear a role of their own (menus, headers,
+footers, sidebars, notices, adverts, forms, comments), by element, role or name, without text of the
+template, and outside articles without blocks that are mostly links. Of a page without article and
+template also text that stands loose in an outermost ``div`` or ``section`` goes, where it follows
+the outermost element that holds at least 80 % of the text.
+An article whose h1 headings, or all of whose text,
 would go as text of the template is a copied article and stays whole.
 
 Defined results: a null or empty html, or one without text, gives an empty text; a null or odd url
@@ -275,19 +277,25 @@ def main_text(html: str | None, texts: set[int], slots: set[str], cfg: Template
     plain = [b for b in blocks if not b.odd and b.links <= cfg.max_link_share * len(b.text) and _half(_text_token(b), 0) not in texts]
     # where names set everything apart, they are those of the page's layout
     data = [b for b in plain if not b.named] or plain
-    # the text below each container; of the template's slots if the page has any
-    below: Counter = Counter()
+    return "\n\n".join(b.text for b in (data if slots else _without_tail(data)))
+
+
+def _region(path: str) -> str:
+    """The outermost element of a path below html and body."""
+    return next((p for p in path.split("/")[1:] if p.split(".")[0] not in ("html", "body")), "")
+
+
+def _without_tail(data: list[Block]) -> list[Block]:
+    """The blocks without loose text of outermost divs and sections that follows the one with nearly all text."""
+    sizes: Counter = Counter()
     for b in data:
-        parts = b.path.split("/")
-        for k in range(2, len(parts)):
-            below["/".join(parts[:k])] += len(b.text)
-    known = {p: n for p, n in below.items() if p in slots} or below
-    if known:
-        # the innermost container with most of the text of the best one
-        best = max(known.values())
-        inner = max((p for p, n in known.items() if 10 * n >= 8 * best), key=lambda p: (p.count("/"), known[p], p))
-        data = [b for b in data if b.path == inner or b.path.startswith(inner + "/")]
-    return "\n\n".join(b.text for b in data)
+        sizes[_region(b.path)] += len(b.text)
+    best, most = max(sizes.items(), key=lambda x: x[1], default=("", 0))
+    if best.split(".")[0] not in ("div", "section") or 10 * most < 8 * sizes.total():
+        return data
+    last = max(k for k, b in enumerate(data) if _region(b.path) == best)
+    loose = lambda b: b.path.rpartition("/")[2] == _region(b.path) and _region(b.path).split(".")[0] in ("div", "section")
+    return [b for k, b in enumerate(data) if k <= last or not loose(b)]
 
 
 def _extract(cfg: Template):

@@ -79,3 +79,23 @@ def test_a_template_serves_inside_articles_too(spark):
     got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"Title {i}\n\nOwn words {i * 3}" for i in range(8))
     assert all(got[100 + i] == f"Same\n\none\n\ntwo\n\n{i} visits" for i in range(8))
+
+
+POST = "<div class=post><h1>Title {0}</h1><p>intro {0}</p><div class=entry><p>" + "long body {0} " * 30 + "</p></div><p>end {0}</p></div>"
+LIST = "<p>before {0}</p><ul>" + "".join(f"<li>item {{0}} {k} of a long list" for k in range(30)) + "</ul><p>after {0}</p>"
+
+
+def test_text_around_the_longest_container_stays(spark):
+    def whole(i):
+        return f"Title {i}\n\nintro {i}\n\n" + ("long body %d " % i * 30).strip() + f"\n\nend {i}"
+
+    def listed(i):
+        return "\n\n".join([f"before {i}", *(f"item {i} {k} of a long list" for k in range(30)), f"after {i}"])
+
+    for around in ("{}", "<html><body>{}</body></html>", "<div class=page>{}</div>"):
+        assert text(around.format(POST.format(1))) == whole(1) and text(around.format(LIST.format(1))) == listed(1)
+    assert text("<div>Title</div><div><p>intro</p></div><div><p>" + "word " * 50 + "</p></div><div><p>end</p></div>") == "Title\n\nintro\n\n" + ("word " * 50).strip() + "\n\nend"
+    site = "<html><body><div class=top><p>Our site</p><p>Its motto</p></div><div class=a>{}</div><div class=b>{}</div></body></html>"
+    rows = [(i, f"http://a.example/{i}", site.format(POST.format(i), f"<p>also {i}</p>")) for i in range(6)]
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"{whole(i)}\n\nalso {i}" for i in range(6))
