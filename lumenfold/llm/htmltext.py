@@ -21,7 +21,7 @@ would go as text of the template is a copied article and stays whole.
 
 Defined results: a null or empty html, or one without text, gives an empty text; a null or odd url
 has the empty host; unclosed and misplaced tags end where an enclosing or block element does;
-repeated rows, also of one page_id, count as pages; an empty table gives an empty result; pages of
+equal pages of a host count as one for its template, and each has its row; an empty table gives an empty result; pages of
 any length are read whole. Only ``page_id``, ``url`` and ``html`` are read.
 """
 
@@ -38,8 +38,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import new_folder
-
 
 @dataclass(frozen=True)
 class Template:
@@ -224,6 +222,7 @@ def _list_tokens(most: int = 200_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
         held: dict[tuple, list] = {}
+        seen: set[tuple] = set()
 
         def out() -> pa.RecordBatch:
             rows = [(h, t, p, x, *v) for (h, t), (p, x, *v) in held.items()]
@@ -232,6 +231,9 @@ def _list_tokens(most: int = 200_000):
 
         for batch in batches:
             for host, key, page in zip(batch.column("host").to_pylist(), batch.column("key").to_pylist(), batch.column("html"), strict=True):
+                if (host, key) in seen:
+                    continue
+                seen.add((host, key))
                 tokens, blocks = read_page(page.as_py())
                 found = [(path, path, False, n) for path, n in tokens.items()]
                 found += [(t, t.split("\x00", 1)[0], True, n) for t, n in Counter(_text_token(b) for b in blocks).items()]
@@ -248,13 +250,24 @@ def _list_tokens(most: int = 200_000):
     return run
 
 
+def _deal(rows: DataFrame, cfg: Template) -> DataFrame:
+    """``rows`` with key, the same for equal html, and salt; a host's equal pages in one partition."""
+    dealt = rows.withColumn("key", F.xxhash64("html"))
+    return dealt.withColumn("salt", F.pmod("key", F.lit(cfg.salts)).cast("int")).repartition("host", "salt")
+
+
 def deduce(pages: DataFrame, cfg: Template = Template()) -> DataFrame:
-    """(host, texts, slots): the template of each host of ``pages`` (host, key, html).
+    """(host, texts, slots): the template of each host of ``pages`` (host, html).
 
     ``texts`` are the tokens of repeated text, ``slots`` the paths of the structural tokens.
     """
-    listed = pages.mapInArrow(_list_tokens(), TOKENS).groupBy("host", "token").agg(F.first("path").alias("path"), F.first("text").alias("text"), F.bit_xor("v1").alias("v1"), F.bit_xor("v2").alias("v2"), F.sum("pages").alias("pages"))
-    sizes = pages.groupBy("host").agg(F.count("*").alias("n"))
+    return _deduce(_deal(pages, cfg), cfg)
+
+
+def _deduce(dealt: DataFrame, cfg: Template) -> DataFrame:
+    # equal pages are in one partition and count once
+    listed = dealt.mapInArrow(_list_tokens(), TOKENS).groupBy("host", "token").agg(F.first("path").alias("path"), F.first("text").alias("text"), F.bit_xor("v1").alias("v1"), F.bit_xor("v2").alias("v2"), F.sum("pages").alias("pages"))
+    sizes = dealt.groupBy("host").agg(F.count_distinct("key").alias("n"))
     often = listed.join(sizes, "host").where((F.col("pages") >= cfg.min_pages) & (F.col("pages") >= cfg.min_share * F.col("n")))
     # a class nests if the shortest path of its structural tokens leads to all their paths
     outer = F.min_by("path", F.struct(F.length("path"), F.col("path")))
@@ -314,12 +327,10 @@ def _extract(cfg: Template):
 
 def extract(pages: DataFrame, cfg: Template = Template()) -> DataFrame:
     """(page_id, url, text) for every row of ``pages``."""
-    spark = pages.sparkSession
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
-    at = new_folder(spark, "templates")
-    deduce(rows.select("host", F.xxhash64("page_id", "url").alias("key"), "html"), cfg).write.parquet(at)
+    dealt = _deal(rows, cfg)
     # templates are small and exist for hosts of many pages only: each goes to every salt of its pages
-    templates = spark.read.parquet(at).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(cfg.salts - 1))))
-    joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(cfg.salts)).cast("int")).join(templates.hint("merge"), ["host", "salt"], "left")
+    templates = _deduce(dealt, cfg).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(cfg.salts - 1))))
+    joined = dealt.join(templates.hint("merge"), ["host", "salt"], "left")
     return joined.mapInArrow(_extract(cfg), f"page_id {dict(rows.dtypes)['page_id']}, url string, text string")

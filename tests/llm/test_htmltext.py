@@ -99,3 +99,21 @@ def test_text_around_the_longest_container_stays(spark):
     rows = [(i, f"http://a.example/{i}", site.format(POST.format(i), f"<p>also {i}</p>")) for i in range(6)]
     got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"{whole(i)}\n\nalso {i}" for i in range(6))
+
+
+def test_copies_are_no_evidence_of_a_template(spark):
+    paragraphs = [f"Paragraph {k} of the copied text" for k in range(4)]
+    copy = "<html><body><div class=post>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "</div></body></html>"
+    rows = [(i, f"http://a.example/{i}", copy) for i in range(7)]
+    rows += [(i, f"http://a.example/{i}", f"<html><body><div class=post><p>Own {i}</p><p>And more {i}</p></div></body></html>") for i in range(7, 10)]
+    rows += [(20, "http://b.example/", copy)] * 5
+    # the same template in even and odd numbers of copies
+    rows += [r for i in range(6) for r in [page("c.example", 30 + i, f"Body {i}")] * (1 + i % 2)]
+    got = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = [(r.page_id, r.text) for r in htmltext.extract(got).collect()]
+    assert sorted(i for i, _ in got) == sorted(r[0] for r in rows)
+    for i, found in got:
+        if i >= 30:
+            assert found == f"Body {i - 30}"
+        else:
+            assert found == ("\n\n".join(paragraphs) if i < 7 or i == 20 else f"Own {i}\n\nAnd more {i}")
