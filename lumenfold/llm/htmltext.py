@@ -60,8 +60,10 @@ BLOCK = frozenset(
 )
 #: Elements without content.
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is no markup, and is no text either.
-RAW = frozenset("script style noscript template svg math iframe object textarea canvas audio video".split())
+#: Elements whose content HTML reads as raw text, to the page's end if need be; it is no text of the page.
+RAW = frozenset("script style iframe textarea".split())
+#: Elements whose content is drawn, played or inert, and skipped up to their own end tag if there is one.
+SKIPPED = frozenset("noscript template svg canvas audio video".split())
 #: Elements with a role of their own.
 ROLE_TAGS = frozenset("head title nav header footer aside form menu button select option label input dialog".split())
 #: Values of the role attribute with a role of their own.
@@ -114,6 +116,20 @@ def _is_not_own(path: str) -> bool:
     return any(h and h[0] in NOT_OWN for h in heads)
 
 
+def _ends(html: str, at: int, tag: str) -> dict[int, int]:
+    """From ``at``, behind a start tag: where each element ``tag`` begins its content to where its own end tag ends."""
+    found, open_ = {}, [at]
+    for m in _MARKUP.finditer(html, at):
+        if (m["tag"] or "").lower() != tag:
+            continue
+        if not m["end"]:
+            if not m["attrs"].rstrip().endswith("/"):
+                open_.append(m.end())
+        elif open_:
+            found[open_.pop()] = m.end()
+    return found
+
+
 @dataclass
 class Block:
     path: str
@@ -150,6 +166,7 @@ def read_page(html: str | None) -> tuple[Counter, list[Block]]:
 
     html = html or ""
     at = 0
+    ends: dict[str, dict[int, int]] = {}
     for m in _MARKUP.finditer(html):
         if m.start() < at:
             continue  # inside an element whose content is no markup
@@ -172,6 +189,12 @@ def read_page(html: str | None) -> tuple[Counter, list[Block]]:
             if not m["attrs"].rstrip().endswith("/"):
                 at = ended.end() if ended else len(html)
             continue
+        if tag in SKIPPED:
+            if not m["attrs"].rstrip().endswith("/"):
+                if tag not in ends:
+                    ends[tag] = _ends(html, at, tag)
+                at = ends[tag].get(at, at)
+            continue
         if tag in ("br", "wbr"):
             add(" " if tag == "br" else "")
             continue

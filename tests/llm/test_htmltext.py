@@ -117,3 +117,17 @@ def test_copies_are_no_evidence_of_a_template(spark):
             assert found == f"Body {i - 30}"
         else:
             assert found == ("\n\n".join(paragraphs) if i < 7 or i == 20 else f"Own {i}\n\nAnd more {i}")
+
+
+@pytest.mark.parametrize("tag", ["noscript", "template", "svg", "canvas", "audio", "video", "object", "math"])
+def test_an_element_without_its_end_tag_ends_no_page(tag):
+    assert text(f"<article><p>a</p><{tag} src=x><p>b</p><p>c</p></article>") == "a\n\nb\n\nc"
+    # the end tag of a later one is not its own
+    assert text(f"<article><p>a</p><{tag}><p>b</p><{tag}></{tag}><p>c</p></article>") == "a\n\nb\n\nc"
+
+
+def test_skipped_and_read_elements():
+    assert text("<article><p>a <math><mi>x</mi><mo>=</mo><mn>1</mn></math> b</p><object data=f><p>instead</p></object></article>") == "a x=1 b\n\ninstead"
+    assert text("<article><template><p>t</p><template>u</template>v</template><p>a</p><svg><text>s</text></svg><video>no</video></article>") == "a"
+    assert text("<article><p>a</p><script>var x = '<p>no'") == "a" and text("<article><p>a</p><textarea><p>no") == "a"
+    assert text("<article>" + "<svg><p>x</p>" * 20_000) == "\n\n".join("x" * 20_000)
