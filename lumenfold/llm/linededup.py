@@ -2,13 +2,13 @@
 
 A line's key is the line without ASCII white space at its ends and with A-Z lower-cased; its
 128-bit hash stands for it. ``LineRuns`` holds runs of (hash, documents, largest doc_id), each
-sorted by hash; a batch is aggregated, merge-joined against the runs, and written as a run of its
-own; when a level holds ``fanout`` runs they are merged into one run of the next level.
+sorted by hash; a batch is aggregated and merge-joined against the runs, its unseen keys become a run
+and the counts of its known keys a run of updates; when a level holds ``fanout`` runs they are merged into one run of the next level.
 
 Two ways of use:
 * ``LineRuns.unseen`` and ``LineRuns.add`` for a growing corpus: a batch keeps the lines whose key
   no run holds, and then adds its own keys.
-* ``dedup_lines`` for a table: the table is fed to the runs in batches; keys found in at least
+* ``dedup_lines`` for a table: the table is fed to the runs in batches (``LineRuns.feed``); keys found in at least
   ``min_docs`` documents lose their lines everywhere but in the largest doc_id that holds them.
 
 Defined results: a null or empty text is one empty line; every row counts as a document, so a
@@ -66,42 +66,62 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, fanout: int = 4, folder: str | None = None):
         self.spark, self.fanout, self.folder = spark, fanout, folder or new_folder(spark, "line-runs")
+        #: runs of keys, and of later counts of keys that those hold
         self.levels: list[list[str]] = [[]]
+        self.updates: list[list[str]] = [[]]
         self.written = 0
 
     def _read(self, paths: list[str]) -> DataFrame:
         schema = "h1 long, h2 long, n_docs long, max_doc long"
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def _write(self, level: int, rows: DataFrame) -> None:
+    def _write(self, levels: list[list[str]], level: int, rows: DataFrame) -> None:
         at, self.written = f"{self.folder}/L{level}-{self.written}", self.written + 1
         rows.sortWithinPartitions("h1", "h2").write.parquet(at)
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(at)
+        while len(levels) <= level:
+            levels.append([])
+        levels[level].append(at)
+
+    def _push(self, levels: list[list[str]], rows: DataFrame) -> None:
+        """Write a run; merge a level that is full into the next one."""
+        self._write(levels, 0, rows)
+        level = 0
+        while len(levels[level]) >= self.fanout:
+            full, levels[level] = levels[level], []
+            self._write(levels, level + 1, self._merged(self._read(full)))
+            for at in full:
+                drop_folder(self.spark, at)
+            level += 1
 
     @staticmethod
     def _merged(rows: DataFrame) -> DataFrame:
         return rows.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
 
+    def _met(self, hashes: DataFrame, how: str) -> DataFrame:
+        return hashes.join(self._read(sum(self.levels, [])).select("h1", "h2").hint("merge"), ["h1", "h2"], how)
+
+    def _keys(self, hashes: DataFrame) -> DataFrame:
+        return self._merged(hashes.select("h1", "h2", F.lit(1).cast("long").alias("n_docs"), F.col("doc_id").alias("max_doc")))
+
     def unseen(self, hashes: DataFrame) -> DataFrame:
         """Rows of ``hashes`` whose key is in no run: a merge anti-join."""
-        return hashes.join(self._read(sum(self.levels, [])).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+        return self._met(hashes, "left_anti")
 
     def add(self, hashes: DataFrame) -> None:
-        """Add a batch's keys as a run; merge a level that is full into the next one."""
-        self._write(0, self._merged(hashes.select("h1", "h2", F.lit(1).cast("long").alias("n_docs"), F.col("doc_id").alias("max_doc"))))
-        level = 0
-        while len(self.levels[level]) >= self.fanout:
-            full, self.levels[level] = self.levels[level], []
-            self._write(level + 1, self._merged(self._read(full)))
-            for at in full:
-                drop_folder(self.spark, at)
-            level += 1
+        """Add a batch's keys as a run, whether or not other runs hold them."""
+        self._push(self.levels, self._keys(hashes))
+
+    def feed(self, hashes: DataFrame) -> None:
+        """Add a batch's unseen keys as a run, and the counts of its known keys as updates."""
+        keys = self._keys(hashes)
+        if any(self.levels):
+            self._push(self.updates, self._met(keys, "left_semi"))
+            keys = self.unseen(keys)
+        self._push(self.levels, keys)
 
     def counts(self) -> DataFrame:
         """One row for each key of all runs."""
-        paths = sum(self.levels, [])
+        paths = sum(self.levels + self.updates, [])
         return self._read(paths) if len(paths) == 1 else self._merged(self._read(paths))
 
     def drop(self) -> None:
@@ -131,15 +151,17 @@ def _rebuild(min_chars: int, columns: list[str]):
     return run
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 4) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int | None = None, fanout: int = 4) -> DataFrame:
     """Rows of ``docs`` in a struct ``row``, with kept_text, n_lines and n_dropped."""
     spark = docs.sparkSession
+    if batches is None:  # of about 2,000,000 rows at most
+        batches = max(4, -(-docs.count() // 2_000_000))
     staged = new_folder(spark, "line-hashes")
     line_hashes(docs, min_chars, batches).write.partitionBy("part").parquet(staged)
     hashes = spark.read.schema(HASHES + ", part int").parquet(staged)
     runs = LineRuns(spark, fanout)
     for k in range(batches):
-        runs.add(hashes.where(F.col("part") == k))
+        runs.feed(hashes.where(F.col("part") == k))
     common = runs.counts().where(F.col("n_docs") >= min_docs).drop("n_docs")
     gone = F.col("doc_id").isNull() & F.col("max_doc").isNotNull() | (F.col("doc_id") < F.col("max_doc"))
     lost = materialize(

@@ -66,3 +66,19 @@ def test_runs_of_a_growing_corpus(spark):
                 keys = [(r.h1, r.h2) for r in spark.read.parquet(part.f).collect()]
                 assert keys == sorted(keys)
     runs.drop()
+
+
+def test_each_batch_of_a_table_meets_the_runs(spark, monkeypatch):
+    fed, feed = [], linededup.LineRuns.feed
+
+    def watch(self, hashes):
+        feed(self, hashes)
+        keys = [(r.h1, r.h2) for r in self._read(sum(self.levels, [])).collect()]
+        assert len(keys) == len(set(keys))
+        fed.append([[len(x) for x in levels] for levels in (self.levels, self.updates)])
+
+    monkeypatch.setattr(linededup.LineRuns, "feed", watch)
+    rows = [(i, f"{LINE}\n{LINE} number {i % 9}\n{LINE} of its own {i}") for i in range(60)]
+    assert run(spark.createDataFrame(rows, "doc_id long, text string"), batches=5, fanout=2) == brute(rows)
+    # all batches pass by the runs, whose levels reach the third
+    assert [x[0] for x in fed] == [[1], [0, 1], [1, 1], [0, 0, 1], [1, 0, 1]] and fed[-1][1] == [0, 0, 1]
