@@ -1,3 +1,4 @@
+import hashlib
 import os
 import random
 
@@ -74,6 +75,12 @@ def test_the_whole_pipeline(spark, tables):
     assert sorted((r.doc_id, r.ids) for r in got) == sorted((r.doc_id, reference.encode(r.text)) for r in mixed.collect())
 
 
+def test_ids_of_the_last_stage_decode_to_the_mixed_text(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet").where("text is not null")
+    got = corpus_pipeline.encode_pieces(spark, docs, tables).select("doc_id", "decoded_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted((r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) for r in docs.collect())
+
+
 def test_registered_names():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
     assert set(ORACLE_SQL) <= set(QUERIES)
