@@ -18,6 +18,7 @@ are encoded whole. Columns that are not named as fields are not read.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,11 @@ from pyspark.sql import functions as F
 #: Fixed value: the pattern that cuts a text before byte pairs are merged.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Runs of white space of so many characters overflow the tokenizer's stack from some size on; they
+#: are cut out before, where the pattern itself ends a match.
+LONG_RUN = 50_000
+_RUN = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
+
 RULES = ("first", "last", "most")
 SCHEMA = "doc_id long, n_tokens long, n_sections long, n_crossing long, field_tokens array<long>, section_tokens array<long>"
 
@@ -49,12 +55,28 @@ def attribute(ends: np.ndarray, cuts: np.ndarray, rule: str) -> tuple[np.ndarray
     return np.bincount(to, minlength=len(cuts)) if len(cuts) else np.zeros(0, int), len(crossing)
 
 
+def encode_whole(text: str, encoding) -> list[int]:
+    """The ids of a text of any length.
+
+    The pattern takes a run of white space up to its last character, which goes with what follows, or
+    whole at the text's end: that stretch is one match, so it is merged by itself and the parts around
+    it keep their ids.
+    """
+    ids, at = [], 0
+    for run in _RUN.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        ids += encoding.encode_ordinary(text[at : run.start()])
+        ids += encoding._encode_single_piece(text[run.start() : end])
+        at = end
+    return ids + encoding.encode_ordinary(text[at:])
+
+
 def _count(vocabulary: bytes, fields: list[str], rule: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in vocabulary.splitlines() if x)}
-        encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         length = np.zeros(max(ranks.values()) + 1, np.int64)
         for piece, rank in ranks.items():
             length[rank] = len(piece)
@@ -69,7 +91,7 @@ def _count(vocabulary: bytes, fields: list[str], rule: str):
                     own[-1] -= i == len(texts) - 1
                     sizes += own
                     lines.append(len(own))
-                ends = np.cumsum(length[np.array(encode(whole), np.int64)]) if whole else np.zeros(0, np.int64)
+                ends = np.cumsum(length[np.array(encode_whole(whole, encoding), np.int64)]) if whole else np.zeros(0, np.int64)
                 counts, crossing = attribute(ends, np.cumsum(sizes), rule)
                 at = np.concatenate([[0], np.cumsum(lines)])
                 total = np.concatenate([[0], np.cumsum(counts)])

@@ -66,3 +66,18 @@ def test_odd_rows(spark):
     assert tokens.count_tokens(empty_documents(spark), RANKS).count() == 0
     with pytest.raises(ValueError):
         tokens.count_tokens(docs, RANKS, rule="none")
+
+
+def test_long_white_space_and_texts(spark):
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    encoding = tiktoken.Encoding("own", pat_str=tokens.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for run in (" " * 60_000, "\n" * 60_000, " \n\t" * 20_000, "\u3000 " * 30_000):
+        for a, b in (("", ""), ("x", "y"), ("x", ""), ("", "1"), ("x.", "!")):
+            assert tokens.encode_whole(a + run + b, encoding) == encoding.encode_ordinary(a + run + b)
+    rows = [(1, " " * 2_000_000), (2, "\n" * 1_500_000 + "end"), (3, "word " * 400_000)]
+    got = {r.doc_id: r for r in tokens.count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), RANKS).collect()}
+    assert all(sum(got[i].section_tokens) == got[i].n_tokens > 0 for i in (1, 2, 3)) and got[2].n_sections == 1_500_001 and got[3].n_tokens == 400_001
