@@ -3,7 +3,8 @@
 A text is cut into words of ASCII letters and digits and of all characters beyond ASCII, with A-Z
 lower-cased. One automaton finds all notice phrases and the identifier tag in one pass over the
 words joined by single spaces; expressions behind a tag are read by a shunting-yard parser with
-``with`` over ``and`` over ``or``, and evaluated against any predicate on licenses.
+``with`` over ``and`` over ``or``, and evaluated: ``permitted`` tells whether all expressions of a text
+can be met by allowed licenses alone (null without an expression), and the score is lower where not.
 
 Defined results: a null or empty text has no words, no places, empty labels and score 0; places of
 a phrase that overlap all count; a malformed expression gives no labels and is listed as
@@ -45,6 +46,11 @@ NOTICES = {
     "dedicated to the public domain": "public-domain",
     "the unlicense": "unlicense",
 }
+#: Licenses that allow use without passing terms on, and licenses that do so with an exception.
+ALLOWED = frozenset("0bsd apache-2.0 bsd-2-clause bsd-3-clause bsl-1.0 cc-by-4.0 cc0-1.0 isc mit mit-0 unlicense zlib".split())
+ALLOWED_WITH = frozenset({
+    ("gpl-2.0-only", "classpath-exception-2.0"), ("gpl-2.0-or-later", "classpath-exception-2.0"), ("apache-2.0", "llvm-exception"),
+})
 TAG_WORDS = "spdx license identifier"
 _TAG = re.compile(r"SPDX-License-Identifier\s*:[ \t]*([^\r\n]*)", re.I)
 _TOKEN = re.compile(r"\s*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
@@ -111,6 +117,12 @@ def evaluate(expression: Expression, allows: Callable[[str, str | None], bool])
     return allows(values[0], None) if isinstance(values[0], str) else values[0]
 
 
+def allows(license: str, exception: str | None) -> bool:
+    """Whether a license, with an exception or without, is among those allowed."""
+    license, exception = license.lower(), exception and exception.lower()
+    return license in ALLOWED or exception is not None and (license, exception) in ALLOWED_WITH
+
+
 def licenses_of(expression: Expression) -> set[str]:
     """The license identifiers of an expression, exceptions left out, in lower case."""
     found: list = []
@@ -133,7 +145,7 @@ def _automaton(phrases):
     return made
 
 
-SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions array<string>, malformed long"
+SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions array<string>, malformed long, permitted boolean"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,26 +158,31 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             joined = f" {b' '.join(words).decode('latin-1')} " if words else ""
             base: list[int] = []
             base_labels, labels, tagged = set(), set(), False
+            # each hit ends at a space; the spaces before it are counted on from the hit before
+            passed = spaces = 0
             for end, phrase in find.iter(joined):
                 if phrase in BASE:
-                    base.append(joined.count(" ", 0, end - len(phrase) - 1))
+                    spaces += joined.count(" ", passed, end)
+                    passed = end
+                    base.append(spaces - phrase.count(" ") - 1)
                     base_labels.add(BASE[phrase])
                 elif phrase in NOTICES:
                     labels.add(NOTICES[phrase])
                 else:
                     tagged = True
-            valid, wrong = [], 0
+            valid, wrong, met = [], 0, True
             for m in _TAG.finditer(text) if tagged else ():
                 parsed = parse_expression(m[1])
                 if parsed is None:
                     wrong += 1
                 else:
                     valid.append(" ".join(parsed))
+                    met &= evaluate(parsed, allows)
                     labels |= licenses_of(parsed)
             labels |= base_labels
-            score = 1.0 if valid else min(0.9, 0.5 + 0.1 * len(base) + 0.1 * len(labels)) if labels else 0.0
-            rows.append((len(words), len(base), min(base, default=None), max(base, default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels)), score, valid, wrong))
-        kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.string()), pa.int64()]
+            score = (1.0 if met else 0.95) if valid else min(0.9, 0.5 + 0.1 * len(base) + 0.1 * len(labels)) if labels else 0.0
+            rows.append((len(words), len(base), min(base, default=None), max(base, default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels)), score, valid, wrong, met if valid else None))
+        kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.string()), pa.int64(), pa.bool_()]
         columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *[pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]], names=[x.split()[0] for x in SCHEMA.split(", ")])
 

@@ -63,3 +63,27 @@ def test_odd_rows(spark):
     for r in got:
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute(texts[r.doc_id])
     assert licenses.scan(empty_documents(spark)).count() == 0
+
+
+def test_expressions_decide_what_is_permitted(spark):
+    tag = "SPDX-License-Identifier: "
+    texts = [f"{tag}MIT OR GPL-3.0-only", f"{tag}MIT AND GPL-3.0-only", f"{tag}GPL-2.0-only WITH Classpath-exception-2.0", f"{tag}GPL-2.0-only", "under the mit license", f"{tag}MIT\n{tag}AGPL-3.0-only", f"{tag}(ISC OR X) AND (Y OR Zlib)"]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i].permitted for i in range(7)] == [True, False, True, False, None, False, True]
+    assert got[0].score == got[2].score == 1.0 and got[1].score < 1.0
+
+
+def test_many_places_take_time_in_proportion():
+    import time
+
+    import pyarrow as pa
+
+    def took(n):
+        batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["x under the mit license cc by nc\n" * n]})
+        began = time.perf_counter()
+        row = next(licenses._scan(iter([batch]))).to_pylist()[0]
+        assert (row["n_words"], row["n_base"], row["first_word"], row["last_word"]) == (8 * n, 2 * n, 1, 8 * n - 3)
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(160_000) < 30 * max(took(16_000), 0.05)
