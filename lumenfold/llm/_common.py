@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,16 +13,21 @@ from pyspark.sql import functions as F
 WS = r"\x20\x09-\x0D"
 #: The same characters for ``str.strip``; ``bytes.split()`` without arguments cuts at exactly these.
 WS_CHARS = " \t\n\x0b\x0c\r"
+#: Masters whose executors share the driver's disk.
+LOCAL = re.compile(r"local(\[.*\])?")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests on one machine) a local folder is set up and
-    remembered as the checkpoint folder of the session's context.
+    Only where the session has none and runs on one machine (as in tests) a local folder is set up and
+    remembered as the checkpoint folder of the session's context. A cluster without the setting is an
+    error: what executors write to folders of their own would be missing from later reads.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not LOCAL.fullmatch(spark.sparkContext.master):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder on {spark.sparkContext.master}")
         at = tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
