@@ -59,9 +59,11 @@ def mix(docs: DataFrame, size: Column | None = None, source: str = "source", see
         ranges = max(4096, docs.count() // 50_000)
     bits = max(1, (ranges - 1).bit_length())
     kept = [c for c in docs.columns if c not in OUTPUT]
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    # the first 60 bits of a digest that SQL engines have as well
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    key = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
     sized = docs.select(*kept, (word_count(F.col("text")) if size is None else size).alias("size"), F.col(source).alias("__m_source"), key.alias("__m_key"))
-    sized = sized.withColumn("__m_range", F.shiftrightunsigned("__m_key", 64 - bits))
+    sized = sized.withColumn("__m_range", F.shiftright("__m_key", 60 - bits))
     by_range = sized.groupBy("__m_source", "__m_range").agg(F.sum("size").alias("__m_sum"))
     totals = {r[0]: r[1] for r in by_range.groupBy("__m_source").agg(F.sum("__m_sum")).collect()}
     goal = spark.createDataFrame(

@@ -103,6 +103,19 @@ SELECT doc_id, coalesce(n.n, 0) AS n_shingles, min(r.b) AS component_id, doc_id
 FROM documents JOIN r ON r.a = doc_id LEFT JOIN n USING (doc_id) GROUP BY doc_id, n.n
 """
 
+# a target is its cap, twice the source's size, for a prefix of the sources in the order of cap by weight; the others share the rest by weight
+_MIX_SOURCES = rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS size, ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS key FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS total, ([3, 1, 2])[1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3] AS w FROM d GROUP BY source),
+o AS (SELECT *, row_number() OVER (ORDER BY 2 * total / w, source IS NULL, source) AS k FROM s),
+c AS (SELECT *, sum(total) OVER () * 150 / 100 - coalesce(sum(2 * total) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest, sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM o),
+f AS (SELECT rest::DOUBLE / weights::DOUBLE AS share, k FROM c WHERE w * (rest::DOUBLE / weights::DOUBLE) <= 2 * total ORDER BY k LIMIT 1),
+t AS (SELECT c.source, c.total, CASE WHEN f.k IS NULL OR c.k < f.k THEN (2 * total)::DOUBLE ELSE w * share END AS target FROM c LEFT JOIN f ON true),
+p AS (SELECT doc_id, size, total AS source_size, target, floor(target)::BIGINT AS budget, sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN source_size = 0 THEN 0 ELSE (budget // source_size) * size + least(greatest(budget % source_size - before, 0), size) END AS BIGINT) AS taken FROM p
+"""
+
 _PHRASES = "|".join(quality.BOILERPLATE)
 _QUALITY_RULES = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -127,6 +140,7 @@ SELECT *, NOT base_failed AND lost_chars * 100 <= word_chars * 50 AND lost_chars
 
 #: The others have no SQL: fitted or hashed choices, tokenizers, expressions and markup are tested by brute force.
 ORACLE_SQL: dict[str, str] = {
+    "op2_mix_sources": _MIX_SOURCES,
     "op4_line_dedup": _LINE_DEDUP,
     "op5_near_duplicates": _NEAR_DUPLICATES,
     "op10_quality_rules": _QUALITY_RULES,

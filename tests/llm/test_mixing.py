@@ -60,3 +60,22 @@ def test_word_count(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     for r in df.select("i", mixing.word_count(df.t).alias("n")).collect():
         assert r.n == len(words(texts[r.i])), texts[r.i]
+
+
+def test_takes_equal_a_plain_cut(spark):
+    import hashlib
+    from collections import defaultdict
+
+    rows = [(i, "w " * (i % 23), ["a", "b", None][i % 3] if i % 5 else "a") for i in range(300)]
+    got = {r.doc_id: (r.taken, r.target) for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), ranges=8).collect()}
+    by_source = defaultdict(list)
+    for i, t, s in rows:
+        by_source[s].append((hashlib.md5(f"0:{i}".encode()).hexdigest()[:15], i, len(words(t))))
+    goal = mixing.targets({s: sum(n for _, _, n in x) for s, x in by_source.items()})
+    for s, listed in by_source.items():
+        total = sum(n for _, _, n in listed)
+        full, left = int(goal[s] // total), int(goal[s]) % total
+        for _, i, n in sorted(listed):
+            more = min(n, left)
+            left -= more
+            assert got[i] == (full * n + more, goal[s])
