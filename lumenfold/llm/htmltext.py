@@ -21,7 +21,8 @@ would go as text of the template is a copied article and stays whole.
 
 Defined results: a null or empty html, or one without text, gives an empty text; a null or odd url
 has the empty host; unclosed and misplaced tags end where an enclosing or block element does;
-equal pages of a host count as one for its template, and each has its row; an empty table gives an empty result; pages of
+a tag with an unclosed quote ends at the next ">"; elements nested deeper than ``MAX_DEPTH`` are read like
+any other and share their paths; equal pages of a host count as one for its template, and each has its row; an empty table gives an empty result; pages of
 any length are read whole. Only ``page_id``, ``url`` and ``html`` are read.
 """
 
@@ -83,7 +84,21 @@ CLOSES = {
     "li": ("li",), "p": ("p",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",),
 }
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?][^>]*>?|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+#: Elements nested deeper share the path down to this depth, and add their own name to it.
+MAX_DEPTH = 128
+
+#: A tag's quotes may hold ">"; where a quote is never closed, the tag ends at the first ">".
+_MARKUP = re.compile(
+    r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?][^>]*>?"
+    r"|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?:(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)(?:>|$)|(?P<loose>[^>]*)(?:>|$))",
+    re.S,
+)
+
+
+def _attrs(m: re.Match) -> str:
+    return m["loose"] if m["attrs"] is None else m["attrs"]
+
+
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _PARTS = re.compile(r"[a-z0-9]+")
 _HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
@@ -123,7 +138,7 @@ def _ends(html: str, at: int, tag: str) -> dict[int, int]:
         if (m["tag"] or "").lower() != tag:
             continue
         if not m["end"]:
-            if not m["attrs"].rstrip().endswith("/"):
+            if not _attrs(m).rstrip().endswith("/"):
                 open_.append(m.end())
         elif open_:
             found[open_.pop()] = m.end()
@@ -145,7 +160,20 @@ def read_page(html: str | None) -> tuple[Counter, list[Block]]:
     """Counts of the page's structural tokens, and its blocks of text in page order."""
     tokens: Counter = Counter()
     blocks: list[Block] = []
-    stack: list[tuple[str, str, bool, bool, bool, bool]] = []  # tag, path, odd, named, article, link
+    # tag, path, odd, named, article, link, whether a path so far tells what is not the page's own
+    stack: list[tuple[str, str, bool, bool, bool, bool, bool]] = []
+    open_: Counter = Counter()
+    # path down to MAX_DEPTH and depth of the block elements that are open; equal paths are one string
+    deep: list[tuple[str, int]] = []
+    paths: dict[str, str] = {}
+
+    def close() -> str:
+        tag = stack.pop()[0]
+        open_[tag] -= 1
+        if tag in BLOCK:
+            deep.pop()
+        return tag
+
     parts: list[str] = []
     links = 0
     # text collected so far belongs to the block element that was open when it began
@@ -154,7 +182,7 @@ def read_page(html: str | None) -> tuple[Counter, list[Block]]:
         text = " ".join(_html.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            _, path, odd, named, article, _ = next((e for e in reversed(stack) if e[0] in BLOCK), ("", "", False, False, False, False))
+            _, path, odd, named, article, _, _ = next((e for e in reversed(stack) if e[0] in BLOCK), ("", "", False, False, False, False, False))
             blocks.append(Block(path, text, links, odd, named, article))
         links = 0
 
@@ -180,17 +208,17 @@ def read_page(html: str | None) -> tuple[Counter, list[Block]]:
         if m["end"]:
             if tag in BLOCK:
                 flush()
-            if any(e[0] == tag for e in stack):
-                while stack and stack.pop()[0] != tag:
+            if open_[tag]:
+                while close() != tag:
                     pass
             continue
         if tag in RAW:
             ended = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            if not m["attrs"].rstrip().endswith("/"):
+            if not _attrs(m).rstrip().endswith("/"):
                 at = ended.end() if ended else len(html)
             continue
         if tag in SKIPPED:
-            if not m["attrs"].rstrip().endswith("/"):
+            if not _attrs(m).rstrip().endswith("/"):
                 if tag not in ends:
                     ends[tag] = _ends(html, at, tag)
                 at = ends[tag].get(at, at)
@@ -200,31 +228,37 @@ def read_page(html: str | None) -> tuple[Counter, list[Block]]:
             continue
         if tag in BLOCK:
             flush()
-            for closed in CLOSES.get(tag, ("p",)):
+            for closed in (c for c in CLOSES.get(tag, ("p",)) if open_[c]):
                 # an open element of the kind, unless a container stands between
                 for e in reversed(stack):
                     if e[0] == closed:
-                        while stack.pop()[0] != closed:
+                        while close() != closed:
                             pass
                         break
                     if e[0] in BLOCK and e[0] not in CLOSES and e[0] not in ("tbody", "thead", "tfoot"):
                         break
-        label, odd, names = _names(m["attrs"]) if m["attrs"] else ("", False, set())
-        _, path, was_odd, was_named, was_article, was_link = stack[-1] if stack else ("", "", False, False, False, False)
+        label, odd, names = _names(_attrs(m)) if _attrs(m) else ("", False, set())
+        _, path, was_odd, was_named, was_article, was_link, not_own = stack[-1] if stack else ("", "", False, False, False, False, False)
         if tag in BLOCK:
-            path = f"{path}/{tag}{label}"
+            stem, depth = deep[-1] if deep else ("", 0)
+            path = f"{stem}/{tag}{label}"
+            path = paths.setdefault(path, path)
             tokens[path] += 1
+            not_own = not_own or _is_not_own(path)
         # a page's own article or main element is not set apart by names, its own or those around it
         named = was_named or not names.isdisjoint(NAMES)
-        own = tag == "main" or tag == "article" and not was_article and not any(_is_not_own(p) for p in (path, *(e[1] for e in stack)))
+        own = tag == "main" or tag == "article" and not was_article and not not_own
         if own or tag in ("html", "body"):
             named = False
         is_article = was_article or own
         # a header element inside an article holds its title
         own_role = tag in ROLE_TAGS and not (tag == "header" and was_article)
-        entry = (tag, path, was_odd or odd or own_role, named, is_article, was_link or tag == "a")
-        if tag not in EMPTY and not m["attrs"].rstrip().endswith("/"):
+        entry = (tag, path, was_odd or odd or own_role, named, is_article, was_link or tag == "a", not_own)
+        if tag not in EMPTY and not _attrs(m).rstrip().endswith("/"):
             stack.append(entry)
+            open_[tag] += 1
+            if tag in BLOCK:
+                deep.append((path if depth < MAX_DEPTH else stem, depth + 1))
     add(html[at:])
     flush()
     return tokens, blocks

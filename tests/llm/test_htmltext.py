@@ -131,3 +131,37 @@ def test_skipped_and_read_elements():
     assert text("<article><template><p>t</p><template>u</template>v</template><p>a</p><svg><text>s</text></svg><video>no</video></article>") == "a"
     assert text("<article><p>a</p><script>var x = '<p>no'") == "a" and text("<article><p>a</p><textarea><p>no") == "a"
     assert text("<article>" + "<svg><p>x</p>" * 20_000) == "\n\n".join("x" * 20_000)
+
+
+def test_vectors_equal_a_plain_deduction(spark):
+    box = "<div class=box><p>Write to us</p><p>We answer</p></div>"
+    rows = [(i, f"<html><body><div class=top><p>Site</p></div><article><h1>Title {i}</h1>{'<p>more</p>' * (i % 3)}<p>Own {i}</p>{box if i % 4 else ''}</article></body></html>") for i in range(9)]
+    pages, seen = [read_page(h) for _, h in rows], {}
+    for k, (tokens, blocks) in enumerate(pages):
+        for t, n in [*tokens.items(), *Counter(f"{b.path}\x00{b.text}" for b in blocks).items()]:
+            seen.setdefault(t, [0] * len(pages))[k] = n
+    classes = {}
+    for t, vector in seen.items():
+        if sum(n > 0 for n in vector) >= 5 and sum(n > 0 for n in vector) >= 0.6 * len(pages):
+            classes.setdefault(tuple(vector), []).append(t)
+    texts, slots = set(), set()
+    for own in classes.values():
+        outer = min((t.split("\x00")[0] for t in own), key=lambda p: (len(p), p))
+        if len(own) >= 3 and all(t.startswith(outer) for t in own):
+            texts |= {htmltext._half(t, 0) for t in own if "\x00" in t}
+            slots |= {t for t in own if "\x00" not in t}
+    assert texts and slots
+    once = spark.createDataFrame([("h", h) for _, h in rows], "host string, html string")
+    for pages in (once, once.union(once), once.repartition(5)):
+        got = htmltext.deduce(pages).first()
+        assert set(got.texts) == texts and set(got.slots) == slots
+    # the template decides: without it the box stays
+    assert htmltext.main_text(rows[1][1], texts, slots) == "Title 1\n\nmore\n\nOwn 1" and "We answer" in text(rows[1][1])
+
+
+def test_deep_nesting_and_open_quotes():
+    for html in ("<div>" * 100_000 + "<p>deep</p>" + "</div>" * 100_000, "<div>" * 100_000 + "</i>" * 100_000 + "deep", "<b>" * 100_000 + "deep"):
+        assert text(html) == "deep"
+    assert max(len(p) for p in read_page("<div class=a>" * 50_000)[0]) < 2_000
+    assert text("<p title=\"it's>one</p>") == "one" and text("<article><p title='a>one</p><p>two \"x\"</p></article>") == 'one\n\ntwo "x"'
+    assert text('<p title="a>b">c</p>') == "c"
