@@ -2,18 +2,22 @@
 
 A bounded sample is split again and again until its clusters are of even size; their means are the
 centroids of the posting lists. A vector goes to the list of its nearest centroid and, near a
-boundary, also to others: those within ``spread`` of the smallest distance that are not closer to an
-already chosen centroid than to the vector. Nearest centroids are found by best-first search over an
+boundary, also to others: those within ``spread`` of the smallest distance, unless they lie much closer
+to an already chosen centroid than to the vector. Nearest centroids are found by best-first search over an
 in-memory graph of the centroids, which has at most ``max_lists`` nodes. A query searches the lists
 whose distance is at most ``ratio`` times its smallest; the ratio is calibrated on the sample to a
-target recall. Lists are gathered into blocks of bounded size; every block returns the best of each
-of its queries, and the blocks' best are merged.
+target recall. Small lists are gathered into blocks and large ones are dealt over several, so that a
+block's rows are bounded in number; every block returns the best of each of its queries, and the
+blocks' best are merged.
+
+Equal vectors are searched once and stand in a list with their ``k + 1`` smallest ids only: as ties go to
+smaller ids, no other one of them can be among the nearest of any query, so nothing is lost.
 
 Scores are computed in double precision on the original vectors.
 
 Defined results: vectors that are null, of zero length or all zeros, that hold null or non-finite
 components, or whose length is not the table's most frequent one (the smaller of equally frequent
-ones) take no part; repeated rows of one id count once; ties go to the smaller id; a query with
+ones) take no part; of several rows of one id the smallest vector counts; ties go to the smaller id; a query with
 fewer candidates than k gets all of them; a table without valid vectors gives an empty result. Only
 the id and the vector are read.
 """
@@ -26,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import materialize
@@ -41,12 +45,13 @@ class Ann:
     max_lists: int = 2_500
     #: replication: lists within this factor of the smallest distance, and at most so many
     spread: float = 1.10
-    replicas: int = 4
+    replicas: int = 2
+    #: a list is left out if its centroid's distance to a chosen one is at most this share of that to the vector
+    apart: float = 0.5
     neighbours: int = 24
-    target_recall: float = 0.97
+    target_recall: float = 0.95
     calibration_queries: int = 200
     block_rows: int = 32_768
-    query_chunk: int = 50_000
     seed: int = 7
 
 
@@ -116,7 +121,7 @@ def search_graph(index: Index, q: np.ndarray, wanted: int, reach: float | None =
                 bound = max(bound, reach * best[0][0])
             if d > bound:
                 break
-        new = [j for j in index.graph[at].tolist() if j not in seen]
+        new = [j for j in dict.fromkeys(index.graph[at].tolist()) if j not in seen]
         if not new:
             continue
         seen.update(new)
@@ -134,7 +139,7 @@ def lists_of(index: Index, v: np.ndarray, cfg: Ann) -> list[int]:
     for j, dist in zip(at.tolist(), d.tolist(), strict=True):
         if len(chosen) >= cfg.replicas or dist > cfg.spread * d[0] and chosen:
             break
-        if all(np.linalg.norm(index.centroids[j] - index.centroids[o]) > dist for o in chosen):
+        if all(np.linalg.norm(index.centroids[j] - index.centroids[o]) > cfg.apart * dist for o in chosen):
             chosen.append(j)
     return chosen
 
@@ -178,50 +183,66 @@ def fit(vectors: DataFrame, cfg: Ann = Ann()) -> tuple[Index | None, int]:
     return Index(centroids, index.graph, max(ratio, 1.0), x.shape[1]), n
 
 
-def _assign(index: Index, cfg: Ann, blocks: int, chunks: int):
+@dataclass(frozen=True)
+class Blocks:
+    """Lists share blocks where a block holds several, and are dealt by id over ``splits`` where they are larger."""
+
+    count: int
+    splits: int
+
+    @classmethod
+    def of(cls, rows: int, lists: int, most: int) -> Blocks:
+        wanted = max(1, -(-rows // most))
+        return cls(wanted, 1) if wanted <= lists else cls(lists * -(-wanted // lists), -(-wanted // lists))
+
+    def of_list(self, lists: np.ndarray) -> np.ndarray:
+        """The first block of each list."""
+        return lists * self.splits if self.splits > 1 else lists % self.count
+
+
+def _vectors(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _assign(index: Index, cfg: Ann, blocks: Blocks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
             row, lists = [], []
-            for i, v in enumerate(x):
+            for i, v in enumerate(_vectors(batch.column("v"))):
                 own = lists_of(index, v, cfg)
                 row += [i] * len(own)
                 lists += own
-            # every chunk of queries meets every block
-            taken = batch.take(pa.array(np.repeat(row, chunks), pa.int64()))
-            lists = np.repeat(np.array(lists, np.int32), chunks)
-            chunk = np.tile(np.arange(chunks, dtype=np.int32), len(row))
-            yield pa.RecordBatch.from_arrays([pa.array(lists % blocks, pa.int32()), pa.array(chunk, pa.int32()), pa.array(lists, pa.int32()), *taken.columns], names=["block", "chunk", "list", "id", "v"])
+            taken, lists = batch.take(pa.array(row, pa.int64())), np.array(lists, np.int64)
+            part = (taken.column("id").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(blocks.splits)
+            block = blocks.of_list(lists) + part.astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(lists, pa.int32()), *taken.columns], names=["block", "list", "id", "v"])
 
     return run
 
 
-def _probe(index: Index, blocks: int, chunks: int):
+def _probe(index: Index, blocks: Blocks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
             row, block, lists = [], [], []
-            for i, v in enumerate(x):
+            for i, v in enumerate(_vectors(batch.column("v"))):
                 by_block: dict[int, list[int]] = {}
-                for j in probes_of(index, v):
-                    by_block.setdefault(j % blocks, []).append(j)
-                for b, own in by_block.items():
-                    row.append(i)
-                    block.append(b)
-                    lists.append(own)
+                probes = np.array(probes_of(index, v))
+                for j, first in zip(probes.tolist(), blocks.of_list(probes).tolist(), strict=True):
+                    for b in range(first, first + blocks.splits):
+                        by_block.setdefault(b, []).append(j)
+                row += [i] * len(by_block)
+                block += by_block
+                lists += by_block.values()
             taken = batch.take(pa.array(row, pa.int64()))
-            chunk = [hash(i) % chunks for i in taken.column("id").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(chunk, pa.int32()), pa.array(lists, pa.list_(pa.int32())), *taken.columns], names=["block", "chunk", "lists", "id", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(lists, pa.list_(pa.int32())), *taken.columns], names=["block", "lists", "id", "v"])
 
     return run
 
 
-def best_of(ids: np.ndarray, v: np.ndarray, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest rows to ``q`` but its own, ties to smaller ids, with exact distances."""
+def best_of(ids: np.ndarray, v: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest rows to ``q``, ties to smaller ids, with exact distances."""
     diff = v - q
     d = np.sqrt(np.einsum("ij,ij->i", diff, diff))
-    ok = ids != own
-    ids, d = ids[ok], d[ok]
     if len(d) > k:
         near = d <= np.partition(d, k - 1)[k - 1]
         ids, d = ids[near], d[near]
@@ -234,18 +255,17 @@ def _search(k: int):
         names = {"query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.float64()}
         if not rows.num_rows or not queries.num_rows:
             return pa.table({c: pa.array([], t) for c, t in names.items()})
-        flat = lambda t: t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
-        v, ids, lists = flat(rows), rows.column("id").to_numpy(), rows.column("list").to_numpy()
+        v, ids, lists = _vectors(rows.column("v").combine_chunks()), rows.column("id").to_numpy(), rows.column("list").to_numpy()
         order = np.argsort(lists, kind="stable")
         starts = {int(j): (a, b) for j, a, b in zip(*(lambda u, s: (u, s, [*s[1:], len(order)]))(*np.unique(lists[order], return_index=True)), strict=True)}
         out = []
-        for q, x, probes in zip(queries.column("id").to_pylist(), flat(queries), queries.column("lists").to_pylist(), strict=True):
+        for q, x, probes in zip(queries.column("id").to_pylist(), _vectors(queries.column("v").combine_chunks()), queries.column("lists").to_pylist(), strict=True):
             at = [order[slice(*starts[j])] for j in probes if j in starts]
             if not at:
                 continue
             at = np.concatenate(at)
             at = at[np.unique(ids[at], return_index=True)[1]]  # copies of a vector in several lists
-            near, d = best_of(ids[at], v[at], x, q, k)
+            near, d = best_of(ids[at], v[at], x, k)
             out.append((np.full(len(near), q), near, d))
         if not out:
             return pa.table({c: pa.array([], t) for c, t in names.items()})
@@ -260,19 +280,25 @@ def nearest(table: DataFrame, is_query: Column, cfg: Ann = Ann(), id_column: str
     rows = table.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     rows = rows.where(F.col("id").isNotNull() & valid(F.col("v")))
     sizes = sorted(rows.groupBy(F.size("v").alias("s")).count().collect(), key=lambda r: (-r["count"], r["s"]))
-    rows = rows.where(F.size("v") == (sizes[0]["s"] if sizes else 0)).dropDuplicates(["id"])
+    rows = rows.where(F.size("v") == (sizes[0]["s"] if sizes else 0)).groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
     rows = materialize(rows, "vectors")
+    # the limit on ranks reaches below the shuffle, so that a vector of very many rows does not gather in one task
+    held = rows.withColumn("nth", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("nth") <= cfg.k + 1).select("id", "v")
     index, n = fit(rows.select("id", "v"), cfg)
     result = "query_id long, rank int, vec_id long, score double"
     if index is None:
         return spark.createDataFrame([], result)
     asked = rows.where("q").select("id", "v")
+    once = materialize(asked.groupBy("v").agg(F.min("id").alias("id")).select("id", "v"), "queries")
     if n <= 4 * cfg.k:  # so few rows that a search could run out of candidates: one list
         index = Index(index.centroids[:1], np.zeros((1, 1), int), 1.0, index.dims)
-    blocks = max(1, -(-2 * n // cfg.block_rows))
-    chunks = max(1, -(-asked.count() // cfg.query_chunk))
-    kept = rows.select("id", "v").mapInArrow(_assign(index, cfg, blocks, chunks), "block int, chunk int, list int, id long, v array<double>")
-    probes = asked.mapInArrow(_probe(index, blocks, chunks), "block int, chunk int, lists array<int>, id long, v array<double>")
-    found = kept.groupBy("block", "chunk").cogroup(probes.groupBy("block", "chunk")).applyInArrow(_search(cfg.k), "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, cfg.k).alias("best"))
-    return best.select("query_id", F.posexplode("best").alias("pos", "b")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))
+    blocks = Blocks.of(2 * n, len(index.centroids), cfg.block_rows)
+    kept = held.mapInArrow(_assign(index, cfg, blocks), "block int, list int, id long, v array<double>")
+    probes = once.mapInArrow(_probe(index, blocks), "block int, lists array<int>, id long, v array<double>")
+    # one more than wanted, as a query may find itself
+    found = kept.groupBy("block").cogroup(probes.groupBy("block")).applyInArrow(_search(cfg.k + 1), "query_id long, vec_id long, score double")
+    best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, cfg.k + 1).alias("best"))
+    searched = best.join(once.hint("merge"), F.col("query_id") == F.col("id")).select("v", "best")
+    own = F.filter("best", lambda b: b["vec_id"] != F.col("id"))
+    each = asked.join(searched.hint("merge"), "v").select(F.col("id").alias("query_id"), F.posexplode(F.slice(own, 1, cfg.k)).alias("pos", "b"))
+    return each.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))

@@ -75,3 +75,32 @@ def test_every_row_is_in_a_list_and_lists_are_balanced():
     for v in x[:50]:
         own = ann.lists_of(index, v, ann.Ann())
         assert 1 <= len(own) <= 4 and own[0] == int(np.linalg.norm(centroids - v, axis=1).argmin())
+
+
+def test_equal_vectors_and_repeated_ids(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [1.0, 0.0, 0.5]) for i in range(400)] + [(1000 + i, rng.normal(size=3).tolist()) for i in range(300)]
+    got, want = found(nearest(table(spark, rows))), exact(rows)
+    for q in range(0, 400, 10):
+        assert got[q] == want[q]
+    # the smallest vector of an id counts, however the rows lie
+    twice = table(spark, [*rows, (0, [0.9, 0.0, 0.5]), (1005, [-9.0, 0.0, 0.0])])
+    assert found(nearest(twice)) == found(nearest(twice.repartition(5)))
+
+
+def test_large_lists_are_dealt_over_blocks(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(1500)]
+    whole = found(ann.nearest(table(spark, rows), F.col("vec_id") % 10 == 0))
+    dealt = found(ann.nearest(table(spark, rows), F.col("vec_id") % 10 == 0, ann.Ann(block_rows=40)))
+    assert whole == dealt
+    blocks = ann.Blocks.of(3000, 11, 40)
+    assert blocks.splits == 7 and blocks.count == 77 and ann.Blocks.of(3000, 100, 40).splits == 1
+
+
+def test_the_graph_gives_each_centroid_once():
+    c = np.random.default_rng(3).normal(size=(16, 8))
+    index = ann.Index(c, ann._graph(c, 24), 1.3, 8)
+    for q in np.random.default_rng(4).normal(size=(20, 8)):
+        near = ann.probes_of(index, q)
+        assert len(near) == len(set(near)) and near[0] == int(np.linalg.norm(c - q, axis=1).argmin())
