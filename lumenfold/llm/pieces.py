@@ -3,8 +3,8 @@
 Encoding: documents are dealt into chunks of bounded size; each chunk lists its distinct segments
 (stretches of text that no piece can reach across); over the distinct segments of all chunks,
 bounded-length substrings are exploded and equi-joined to the piece table, the edges are grouped by
-segment, and a higher-order aggregate folds each lattice into its pieces. The encodings of a
-chunk's segments then go back to that chunk, which writes out its documents.
+segment, and a higher-order aggregate folds each lattice into the bounds of its pieces. They go back
+to the chunks that list the segment, joined by it, and each chunk writes out its documents.
 
 The fold follows the kind of model. A unigram model takes Viterbi's best path. A BPE model's
 scores are merge ranks, whose best path is *not* the encoding of that model; there the fold takes,
@@ -24,12 +24,13 @@ from __future__ import annotations
 
 import heapq
 import re
-from array import array
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -194,10 +195,23 @@ def viterbi_long(segment: str, table: PieceTable, by_piece: dict[str, tuple[int,
 # ---------------------------------------------------------------- the lattice
 
 
+def revives(table: PieceTable) -> set[str]:
+    """Pieces whose making lets a piece of the same or a better rank be made next, from them and a neighbour."""
+    score = {p: x for p, _, x in table.pieces}
+    found = set()
+    for piece, own in score.items():
+        for k in range(1, len(piece)):
+            left, right = piece[:k], piece[k:]
+            if all(len(x) == 1 or x in score for x in (left, right)):
+                found.update(x for x in (left, right) if len(x) > 1 and score[x] <= own)
+    return found
+
+
 def piece_rows(spark: SparkSession, table: PieceTable) -> DataFrame:
-    """(piece, id, score, rank); as large as the vocabulary, a fixed bound."""
+    """(piece, id, score, rank, revives); as large as the vocabulary, a fixed bound."""
     rank = {s: i for i, s in enumerate(sorted({s for _, _, s in table.pieces}, reverse=True))}
-    return spark.createDataFrame([(p, i, s, rank[s]) for p, i, s in table.pieces], "piece string, id int, score double, rank int")
+    again = set() if table.unigram else revives(table)
+    return spark.createDataFrame([(p, i, s, rank[s], int(p in again)) for p, i, s in table.pieces], "piece string, id int, score double, rank int, revives int")
 
 
 def _bind(value: Column, f) -> Column:
@@ -209,32 +223,40 @@ def _bit(k: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), k)
 
 
-def _pack_edge(rank: Column, at: Column, size: Column, id_: Column) -> Column:
-    """An edge as one long that sorts by rank, then place: 20 bits of rank, 6, 6, 20 bits of id."""
+def _pack_edge(rank: Column, at: Column, size: Column, revives: Column) -> Column:
+    """An edge as one long that sorts by rank, then place: 6 bits of place, 6 of size, 2 for whether it revives."""
     shift = lambda c, k: F.call_function("shiftleft", c.cast("long"), F.lit(k))
-    return shift(rank, 32) + shift(at, 26) + shift(size, 20) + id_
+    return shift(rank, 14) + shift(at, 8) + shift(size, 2) + revives
 
 
 def _bits_of(edge: Column, low: int, size: int) -> Column:
     return F.call_function("shiftright", edge, F.lit(low)).bitwiseAND(F.lit((1 << size) - 1).cast("long")).cast("int")
 
 
+#: above the bits of all places: the pass must end, since a better edge may fit now
+STOP = 1 << 62
+
+
 def _bpe_bounds(n: Column, edges: Column) -> Column:
     """Bit i is set if a piece begins at code point i (bit n: the end).
 
     An edge joins two neighbouring pieces if its ends are bounds and exactly one bound lies inside.
+    A pass takes the edges that fit from the best rank on, leftmost first; it ends early behind an
+    edge that may let one fit that the pass has left behind, and then another pass follows.
     """
-    joins = F.transform(
-        F.filter(edges, lambda e: _bits_of(e, 20, 6) > 1),
-        lambda e: _bind(_bits_of(e, 26, 6), lambda at: F.struct((_bit(at) + _bit(at + _bits_of(e, 20, 6))).alias("ends"), (_bit(at + _bits_of(e, 20, 6)) - _bit(at + 1)).alias("inner"))),
-    )
-    def step(j: Column):
-        def merged(b: Column, _: Column) -> Column:
-            fits = F.filter(j, lambda e: (b.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(b.bitwiseAND(e["inner"])) == 1))
-            return F.coalesce(b - b.bitwiseAND(F.get(fits, F.lit(0))["inner"]), b)
-        return merged
+    stop = F.lit(STOP).cast("long")
+    def taken(b: Column, e: Column) -> Column:
+        held = b.bitwiseAND(e["reach"])
+        fits = (F.bit_count(held) == 3) & (held.bitwiseAND(e["ends"]) == e["ends"])
+        return F.when(fits & (b < stop), b - held + e["ends"] + e["stop"]).otherwise(b)
+    def spread(e: Column) -> Column:
+        ends = lambda size: F.call_function("shiftleft", _bit(size) + 1, _bits_of(e, 8, 6))
+        reach = lambda size: F.call_function("shiftleft", _bit(size + 1) - 1, _bits_of(e, 8, 6))
+        size = _bits_of(e, 2, 6)
+        return F.struct(ends(size).alias("ends"), reach(size).alias("reach"), F.call_function("shiftleft", e.bitwiseAND(F.lit(1).cast("long")), F.lit(62)).alias("stop"))
     whole = _bit(n + 1) - 1
-    return _bind(joins, lambda j: F.when(F.size(j) == 0, whole).otherwise(F.aggregate(F.sequence(F.lit(1), n - 1), whole, step(j))))
+    passes = lambda listed: F.aggregate(F.sequence(F.lit(1), n), whole + stop, lambda b, _: F.when(b < stop, b).otherwise(F.aggregate(listed, b - stop, taken)))
+    return F.when(F.size(edges) == 0, whole).otherwise(_bind(F.transform(edges, spread), passes))
 
 
 def _unigram_bounds(n: Column, edges: Column, worst: float) -> Column:
@@ -259,45 +281,93 @@ def _unigram_bounds(n: Column, edges: Column, worst: float) -> Column:
     return _bind(best, back)
 
 
-def encode_segments(segments: DataFrame, table: PieceTable) -> DataFrame:
-    """(seg, ids, carry) of (sid, seg, carry): explode, equi-join, group, fold.
+SIEVE_BITS = 20
+
+
+def _may_be_piece(text: Column, table: PieceTable) -> Column:
+    """Whether the text's crc32 is that of a piece: nearly all other substrings stop here, before the join."""
+    words = np.zeros(1 << (SIEVE_BITS - 5), np.int64)
+    for p, _, _ in table.pieces:
+        h = zlib.crc32(p.encode()) & (1 << SIEVE_BITS) - 1
+        words[h >> 5] |= 1 << (h & 31)
+    sieve = F.split(F.lit(",".join(map(str, words.tolist()))), ",").cast("array<long>")
+    h = F.crc32(text.cast("binary")).bitwiseAND(F.lit((1 << SIEVE_BITS) - 1).cast("long")).cast("int")
+    return F.get(sieve, F.call_function("shiftright", h, F.lit(5))).bitwiseAND(_bit(h.bitwiseAND(F.lit(31)))) != 0
+
 
-    Segments have at most LONGEST code points and occur once; ``carry`` may be any column.
+def cut_segments(segments: DataFrame, table: PieceTable) -> DataFrame:
+    """(seg, bounds) of (sid, seg): explode, equi-join, group, fold; bit i of bounds is set where a piece begins.
+
+    Segments have at most LONGEST code points and occur once; other columns are not read. The BPE
+    fold never asks for edges of one code point, so those are not listed for it; one row without an
+    edge stands for each segment.
     """
     spark = segments.sparkSession
     pieces = F.broadcast(piece_rows(spark, table))
     size = F.length("seg")
-    starts = segments.select("sid", "seg", "carry", F.explode(F.sequence(F.lit(0), size - 1)).alias("at"))
-    spans = starts.select("sid", "seg", "carry", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(table.longest), size - F.col("at")))).alias("len"))
-    # what is carried along rides on one row of each segment
-    spans = spans.select("sid", "seg", "at", "len", F.substring("seg", F.col("at") + 1, F.col("len")).alias("piece"), F.when((F.col("at") == 0) & (F.col("len") == 1), F.col("carry")).alias("carry"))
-    edges = spans.join(pieces, "piece", "left").where("id is not null or len = 1")
-    packed = F.when(F.col("id").isNotNull(), _pack_edge(F.col("rank"), F.col("at"), F.col("len"), F.col("id")))
-    scored = F.when(F.col("id").isNotNull(), F.struct("at", "len", "score"))
-    wanted = [F.sort_array(F.collect_list(packed)).alias("edges"), F.max("carry").alias("carry"), *([F.collect_list(scored).alias("scored")] if table.unigram else [])]
-    lattice = edges.groupBy("sid", "seg").agg(*wanted).withColumn("n", size)
-    worst = min((s for _, _, s in table.pieces), default=0.0) - 10.0
-    bounds = _unigram_bounds(F.col("n"), F.col("scored"), worst) if table.unigram else _bpe_bounds(F.col("n"), F.col("edges"))
-    places = _bind(bounds, lambda bits: F.filter(F.sequence(F.lit(0), F.col("n")), lambda i: F.call_function("shiftright", bits, i).bitwiseAND(F.lit(1).cast("long")) == 1))
-    def spelled(at: Column) -> Column:
-        if table.byte0 is None:
-            return F.array(F.lit(table.unknown))
-        hexed = F.hex(F.encode(F.substring("seg", at + 1, F.lit(1)), "UTF-8"))
-        return F.transform(F.sequence(F.lit(1), F.length(hexed), F.lit(2)), lambda k: F.conv(F.substring(hexed, k, F.lit(2)), 16, 10).cast("int") + table.byte0)
-    def ids_of(at: Column) -> Column:
-        def ids_at(a: Column, k: Column) -> Column:
-            span = a * 64 + F.get(at, k + 1) - a
-            found = _bind(span, lambda s: F.get(F.filter("edges", lambda e: _bits_of(e, 20, 12) == s), F.lit(0)))
-            return _bind(found, lambda e: F.when(e.isNotNull(), F.array(_bits_of(e, 0, 20))).otherwise(spelled(a)))
-        return F.flatten(F.transform(F.slice(at, F.lit(1), F.size(at) - 1), ids_at))
-    return lattice.select("seg", _bind(places, ids_of).alias("ids"), "carry")
+    least = 1 if table.unigram else 2
+    starts = segments.select("sid", "seg", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), size - least))).alias("at"))
+    spans = starts.select("sid", "seg", "at", F.explode(F.sequence(F.lit(least), F.greatest(F.lit(least), F.least(F.lit(table.longest), size - F.col("at"))))).alias("len"))
+    spans = spans.select("sid", "seg", "at", "len", F.substring("seg", F.col("at") + 1, F.col("len")).alias("piece"))
+    stands = (F.col("at") == 0) & (F.col("len") == least)
+    # a segment shorter than the least edge has none, though its stand-in may spell a piece
+    fits = F.col("id").isNotNull() & (F.col("at") + F.col("len") <= size)
+    edges = spans.where(stands | _may_be_piece(F.col("piece"), table)).join(pieces, "piece", "left").where(fits | stands)
+    if table.unigram:
+        edge = F.struct("at", "len", "score")
+        bounds = _unigram_bounds(F.col("n"), F.col("edges"), min((s for _, _, s in table.pieces), default=0.0) - 10.0)
+    else:
+        edge = _pack_edge(F.col("rank"), F.col("at"), F.col("len"), F.col("revives"))
+        bounds = _bpe_bounds(F.col("n"), F.col("edges"))
+    lattice = edges.groupBy("sid", "seg").agg(F.sort_array(F.collect_list(F.when(fits, edge))).alias("edges")).withColumn("n", size)
+    return lattice.select("seg", bounds.alias("bounds"))
+
+
+def ids_between(segments: list[str], bounds: np.ndarray, table: PieceTable, by_piece: dict[str, tuple[int, float]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the pieces that ``bounds`` cut the segments into, one after the other, and where each segment's end."""
+    whole = "".join(segments)
+    sizes = np.fromiter(map(len, segments), np.int64, len(segments))
+    ends = np.cumsum(sizes)
+    place = np.arange(len(whole)) - np.repeat(ends - sizes, sizes)
+    begins = np.flatnonzero(np.repeat(bounds, sizes) >> place & 1)
+    listed = begins.tolist()
+    pieces = [whole[a:b] for a, b in zip(listed, [*listed[1:], len(whole)], strict=True)] if listed else []
+    ids = np.fromiter((by_piece[p][0] if p in by_piece else -1 for p in pieces), np.int32, len(pieces))
+    upto = np.searchsorted(begins, ends)
+    odd = np.flatnonzero(ids < 0)
+    if len(odd):
+        made = [spell(pieces[k], table) for k in odd.tolist()]
+        wide = np.ones(len(ids), np.int64)
+        wide[odd] = [len(m) for m in made]
+        after = np.concatenate([[0], np.cumsum(wide)])
+        ids = np.repeat(ids, wide)
+        for k, m in zip(odd.tolist(), made, strict=True):
+            ids[after[k] : after[k + 1]] = m
+        upto = after[upto]
+    return ids, upto
+
+
+def _pieces_by_text(table: PieceTable) -> dict[str, tuple[int, float]]:
+    return {p: (i, x) for p, i, x in table.pieces}
+
+
+def encode_segments(segments: DataFrame, table: PieceTable) -> DataFrame:
+    """(seg, ids) of (sid, seg)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_piece = _pieces_by_text(table)
+        for batch in batches:
+            ids, upto = ids_between(_strings(batch.column("seg")), batch.column("bounds").to_numpy(), table, by_piece)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], upto]), pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("seg"), lists], names=["seg", "ids"])
+
+    return cut_segments(segments, table).mapInArrow(run, "seg string, ids array<int>")
 
 
 # ---------------------------------------------------------------- documents
 
 
-def _pack(chunks: int, blob_bytes: int = 1 << 20):
-    """Rows as compressed Arrow blobs of about ``blob_bytes``, each given to a chunk."""
+def _pack(labels: list[int], blob_bytes: int = 2 << 20):
+    """Rows as compressed Arrow blobs of about ``blob_bytes`` each, given to a chunk."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=5)
         for batch in batches:
@@ -310,7 +380,7 @@ def _pack(chunks: int, blob_bytes: int = 1 << 20):
                 with pa.ipc.new_stream(sink, part.schema) as out:
                     out.write_table(part)
                 blob = squeeze.compress(sink.getvalue())
-                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(blob) % chunks], pa.int32()), pa.array([blob], pa.binary())], names=["chunk", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array([labels[xxhash.xxh3_64_intdigest(blob) % len(labels)]], pa.int32()), pa.array([blob], pa.binary())], names=["chunk", "blob"])
 
     return run
 
@@ -319,14 +389,49 @@ def _unpack(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_all()
 
 
+def splits_plainly(table: PieceTable) -> bool:
+    """Whether every text begins with a space sign, and no piece holds a line feed."""
+    return table.dummy_prefix and not any("\n" in p for p, _, _ in table.pieces)
+
+
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def column_words(texts: pa.Array, table: PieceTable, plainly: bool) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(words, codes, counts, order): the words of a column of texts, nearly all once, each occurrence as a
+    place in ``words``, the occurrences of each text, and where each text stands among the counts.
+
+    With ``plainly`` most texts are cut by Arrow at single spaces and before line feeds, which no piece
+    holds; those with runs of spaces or the space sign take the pattern of ``words_of``.
+    """
+    texts = texts.fill_null("")
+    odd = pc.match_substring_regex(texts, f"^$|^ |  |{SPACE}").to_numpy(zero_copy_only=False).astype(bool) if plainly else np.ones(len(texts), bool)
+    plain = pc.split_pattern(pc.replace_substring(texts.filter(pa.array(~odd)), "\n", " \n"), " ")
+    found = plain.flatten().dictionary_encode()
+    words = [w if w[:1] == "\n" else SPACE + w for w in _strings(found.dictionary)]
+    codes = [found.indices.to_numpy(zero_copy_only=False).astype(np.int64)]
+    counts = [pc.list_value_length(plain).to_numpy(zero_copy_only=False).astype(np.int64)]
+    place: dict[str, int] = {}
+    for text in texts.filter(pa.array(odd)).to_pylist():
+        own = words_of(text, table)
+        codes.append(np.array([place.setdefault(w, len(words) + len(place)) for w in own], np.int64))
+        counts.append(np.array([len(own)], np.int64))
+    order = np.empty(len(texts), np.int64)
+    order[np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])] = np.arange(len(texts))
+    return words + list(place), np.concatenate(codes), np.concatenate(counts), order
+
+
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    column = column.combine_chunks()
+    return column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
 def _list_segments(table: PieceTable):
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        cut, seen, found = Cutter(table), set(), set()
+        cut, plainly, seen, found = Cutter(table), splits_plainly(table), set(), set()
         for blob in rows.column("blob"):
-            words: set[str] = set()
-            for text in _unpack(blob.as_py()).column("text"):
-                words.update(words_of(text.as_py(), table))
-            words -= seen
+            words = set(column_words(_whole(_unpack(blob.as_py()).column("text")), table, plainly)[0]) - seen
             seen |= words
             found.update(cut(list(words))[0])
         segs = [s for s in found if len(s) <= LONGEST]
@@ -335,54 +440,83 @@ def _list_segments(table: PieceTable):
     return run
 
 
+def _gather(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of ``pool`` one after the other."""
+    before = np.cumsum(sizes) - sizes
+    return pool[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
+
+
 class _WordIds:
     """Ids of words from the encodings of their segments; remembers a bounded number of words."""
 
-    def __init__(self, table: PieceTable, segs: dict[str, int], ids: np.ndarray, offsets: np.ndarray, most: int = 500_000):
-        self.table, self.segs, self.ids, self.offsets, self.most = table, segs, ids.astype(np.int32).tobytes(), (offsets * 4).tolist(), most
-        self.cut, self.known, self.by_piece = Cutter(table), {}, None
+    def __init__(self, table: PieceTable, segments: list[str], bounds: np.ndarray, most: int = 500_000):
+        self.table, self.segs, self.most = table, dict(zip(segments, range(len(segments)), strict=True)), most
+        self.cut, self.by_piece = Cutter(table), _pieces_by_text(table)
+        self.ids, ends = ids_between(segments, bounds, table, self.by_piece)
+        self.at = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
+        self.size = ends - self.at
+        self._forget()
 
-    def _long(self, segment: str) -> bytes:
-        if self.by_piece is None:
-            self.by_piece = {p: (i, x) for p, i, x in self.table.pieces}
-        return array("i", (viterbi_long if self.table.unigram else merge_long)(segment, self.table, self.by_piece)).tobytes()
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.pool, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """A dictionary that has all of ``words``."""
+    def _long(self, segment: str) -> list[int]:
+        return (viterbi_long if self.table.unigram else merge_long)(segment, self.table, self.by_piece)
+
+    def learn(self, words: list[str]) -> np.ndarray:
+        """Where each of ``words`` stands among ``starts`` and ``sizes``, its stretch of ``pool``."""
         if len(self.known) > self.most:
-            self.known = {}
+            self._forget()
         new = [w for w in words if w not in self.known]
         segments, ends = self.cut(new)
-        ids, at, segs = self.ids, self.offsets, self.segs
-        coded = [ids[at[k] : at[k + 1]] if (k := segs.get(s)) is not None else self._long(s) for s in segments]
-        start = 0
-        for w, end in zip(new, ends.tolist(), strict=True):
-            self.known[w] = coded[start] if end == start + 1 else b"".join(coded[start:end])
-            start = end
-        return self.known
+        place = np.fromiter((self.segs.get(s, -1) for s in segments), np.int64, len(segments))
+        long = np.flatnonzero(place < 0)
+        made = [np.array(self._long(segments[k]), np.int32) for k in long.tolist()]
+        ids, at, size = self.ids, self.at, self.size
+        if made:
+            place[long] = len(at) + np.arange(len(made))
+            size = np.append(size, [len(x) for x in made])
+            at = np.append(at, len(ids) + np.cumsum([0, *(len(x) for x in made[:-1])]))
+            ids = np.concatenate([ids, *made])
+        coded = _gather(ids, at[place], size[place])
+        total = np.concatenate([[0], np.cumsum(size[place])])
+        # ends of the words' segments to ends of their ids
+        stops = total[ends] if len(ends) else np.zeros(0, np.int64)
+        begins = np.concatenate([[0], stops[:-1]]).astype(np.int64) if len(stops) else stops
+        self.known.update(zip(new, range(len(self.starts), len(self.starts) + len(new)), strict=True))
+        self.starts = np.append(self.starts, len(self.pool) + begins)
+        self.sizes = np.append(self.sizes, stops - begins)
+        self.pool = np.append(self.pool, coded)
+        return np.fromiter((self.known[w] for w in words), np.int64, len(words))
 
 
 def _write_out(table: PieceTable, columns: list[str]):
     def run(rows: pa.Table, encoded: pa.Table) -> pa.Table:
-        lists = encoded.column("ids").combine_chunks()
-        lists = lists if isinstance(lists, pa.Array) else lists.chunk(0)
-        offsets, ids = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype(np.int32)
-        words = _WordIds(table, {s: k for k, s in enumerate(encoded.column("seg").to_pylist())}, ids, offsets)
-        made = []
+        words = _WordIds(table, _strings(_whole(encoded.column("seg"))), _whole(encoded.column("bounds")).to_numpy(zero_copy_only=False))
+        made, plainly = [], splits_plainly(table)
         for blob in rows.column("blob"):
             part = _unpack(blob.as_py())
-            texts = [words_of(t.as_py(), table) for t in part.column("text")]
-            known = words.learn({w for t in texts for w in t})
-            coded = [b"".join([known[w] for w in t]) for t in texts]
-            at = np.cumsum([0, *(len(c) // 4 for c in coded)])
-            out = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.frombuffer(b"".join(coded), np.int32)))
+            listed, codes, counts, order = column_words(_whole(part.column("text")), table, plainly)
+            place = words.learn(listed)[codes]
+            coded = _gather(words.pool, words.starts[place], words.sizes[place])
+            total = np.concatenate([[0], np.cumsum(words.sizes[place])])
+            at = total[np.concatenate([[0], np.cumsum(counts)])]
+            out = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(coded)).take(pa.array(order))
             rest = part.select([c for c in columns if c not in ("n_tokens", "ids")])
-            made.append(rest.append_column("n_tokens", pa.array(np.diff(at), pa.int64())).append_column("ids", out))
+            made.append(rest.append_column("n_tokens", pa.array(np.diff(at)[order], pa.int64())).append_column("ids", out))
         return pa.concat_tables(made)
 
     return run
 
 
+def _labels(spark: SparkSession, chunks: int) -> list[int]:
+    """A label for each chunk, so that dealing rows by label to ``chunks`` partitions gives each one chunk."""
+    held = spark.range(64 * chunks + 64).select(F.col("id").cast("int").alias("label")).groupBy(F.pmod(F.hash("label"), F.lit(chunks)).alias("part")).agg(F.min("label").alias("label"))
+    found = {r["part"]: r["label"] for r in held.collect()}
+    return [found.get(k, 64 * chunks + 64 + k) for k in range(chunks)]
+
+
 def encode(docs: DataFrame, table: PieceTable, chunk_bytes: int = 36 << 20) -> DataFrame:
     """Rows of ``docs`` without their text, with n_tokens and ids (array of int)."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -390,13 +524,12 @@ def encode(docs: DataFrame, table: PieceTable, chunk_bytes: int = 36 << 20) -> D
     docs = docs.drop("n_tokens", "ids")
     rest = [f for f in docs.schema.fields if f.name != "text"]
     out = T.StructType([*rest, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    blobs = docs.mapInArrow(_pack(chunks), "chunk int, blob binary").repartition(2 * chunks, "chunk")
+    blobs = docs.mapInArrow(_pack(_labels(docs.sparkSession, chunks)), "chunk int, blob binary").repartition(chunks, "chunk")
     # counts of their own: a segment becomes dozens of lattice rows, which its shuffled size does not tell
-    listed = blobs.groupBy("chunk").applyInArrow(_list_segments(table), "chunk int, seg string").repartition(4 * chunks, "seg").withColumn("sid", F.xxhash64("seg"))
-    segments = listed.groupBy("sid", "seg").agg(F.collect_list("chunk").alias("carry"))
-    # ids of small vocabularies travel as short integers
-    ids = F.col("ids").cast("array<smallint>") if len(table.names) < 1 << 15 else F.col("ids")
-    encoded = encode_segments(segments, table).select(F.explode("carry").alias("chunk"), "seg", ids.alias("ids"))
+    listed = blobs.groupBy("chunk").applyInArrow(_list_segments(table), "chunk int, seg string").repartition(4 * chunks, "seg")
+    # the chunk is kept in use: without it the list would be another shuffle than the one joined below
+    segments = listed.groupBy("seg").agg(F.min("chunk").alias("sid"))
+    encoded = listed.join(cut_segments(segments, table).hint("merge"), "seg").select("chunk", "seg", "bounds")
     return blobs.groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(_write_out(table, out.names), out)
 
 
