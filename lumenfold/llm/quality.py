@@ -1,6 +1,6 @@
 """Line-first quality rules in DataFrame functions only.
 
-Every line is judged on its own (symbols, letters, shouting, navigation, boilerplate); failing
+Every line is judged on its own (symbols, punctuation, letters, shouting, navigation, boilerplate); failing
 lines leave the text, and a document goes if it loses too much of its text or fails the
 document-wide base rules (too few words, too much repetition).
 
@@ -40,6 +40,9 @@ BOILERPLATE = (
     "lorem ipsum",
 )
 
+#: Punctuation marks that are counted against a line's words.
+MARKS = ".,;:!?…"
+
 #: Separators of navigation lines.
 BARS = "|»›•·"
 
@@ -55,6 +58,9 @@ class QualityRules:
     max_line_symbol_pct: int = 50
     #: a line fails with fewer letters than this share of its visible characters
     min_line_letter_pct: int = 50
+    #: a line of at least ``marks`` punctuation marks fails with more of them than this share of its words
+    marks: int = 5
+    max_line_mark_pct: int = 100
     #: a line of at least ``shout_words`` words fails with capitals above this share of its letters
     max_line_upper_pct: int = 80
     shout_words: int = 5
@@ -136,6 +142,7 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "te
                 F.length(F.array_join(x["w"], "")).alias("seen"),
                 _count(x["s"], r"[^#*$%&|<>]+").alias("symbols"),
                 _count(x["s"], r"[^a-z]+").alias("lower"),
+                _count(x["s"], f"[^{MARKS}]+").alias("marks"),
                 F.when(reduce(lambda a, b: a | b, [F.contains(x["s"], F.lit(c)) for c in BARS]), _count(x["s"], f"[^{BARS}]+")).otherwise(0).alias("bars"),
             ),
         ),
@@ -148,6 +155,7 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "te
         odd = (letters * 100 < x["seen"] * rules.min_line_letter_pct) | ((size >= rules.shout_words) & (upper * 100 > letters * rules.max_line_upper_pct))
         return (
             (x["symbols"] * 100 > size * rules.max_line_symbol_pct)
+            | ((x["marks"] >= rules.marks) & (x["marks"] * 100 > size * rules.max_line_mark_pct))
             | ((x["bars"] >= rules.nav_separators) & (size <= x["bars"] * rules.nav_words_each))
             | (~plain & odd)
             | ((size <= rules.phrase_words) & x["s"].rlike("(?i)" + "|".join(BOILERPLATE)))

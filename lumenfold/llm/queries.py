@@ -122,9 +122,9 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS s FROM d),
 m AS (SELECT doc_id, s, len(regexp_extract_all(s, '{_WORD}')) AS words, length(regexp_replace(s, '[\x20\x09-\x0D]+', '', 'g')) AS seen,
   length(regexp_replace(s, '[^#*$%&|<>]+', '', 'g')) AS symbols, length(regexp_replace(s, '\PL+', '', 'g')) AS letters,
-  length(regexp_replace(s, '\P{{Lu}}+', '', 'g')) AS upper_, length(regexp_replace(s, '[^{quality.BARS}]+', '', 'g')) AS bars FROM l),
+  length(regexp_replace(s, '[^{quality.MARKS}]+', '', 'g')) AS marks, length(regexp_replace(s, '\P{{Lu}}+', '', 'g')) AS upper_, length(regexp_replace(s, '[^{quality.BARS}]+', '', 'g')) AS bars FROM l),
 j AS (SELECT *, symbols * 100 > words * 50 OR letters * 100 < seen * 50 OR (words >= 5 AND upper_ * 100 > letters * 80)
-  OR (bars >= 3 AND words <= bars * 4) OR (words <= 15 AND regexp_matches(s, '(?i){_PHRASES}')) AS bad FROM m WHERE words > 0),
+  OR (marks >= 5 AND marks * 100 > words * 100) OR (bars >= 3 AND words <= bars * 4) OR (words <= 15 AND regexp_matches(s, '(?i){_PHRASES}')) AS bad FROM m WHERE words > 0),
 f AS (SELECT doc_id, sum(words) AS n_words, sum(seen) AS word_chars, sum(symbols) AS n_symbols, count(*) - count(DISTINCT s) AS n_dup_lines,
   count(*) AS n_lines, count(*) FILTER (WHERE bad) AS n_failed_lines, coalesce(sum(seen) FILTER (WHERE bad), 0) AS lost_chars FROM j GROUP BY doc_id),
 w AS (SELECT doc_id, regexp_extract_all(t, '{_WORD}') AS w FROM d),

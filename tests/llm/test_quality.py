@@ -68,3 +68,12 @@ def test_a_filter_on_a_verdict_ends(spark):
 def test_plan_has_no_python(spark):
     plan = quality.judge(odd_documents(spark))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "Exchange"))
+
+
+def test_lines_of_punctuation(spark):
+    prose = "The committee met on Tuesday to talk about the new bridge, and it will meet again before the summer is over for good."
+    bad = ["Contents ......... 12", "so... well... then... no...", "?!?!?!", "a, b,, c;; d::"]
+    good = ["Yes, no, perhaps, never, always, sometimes, often.", "Wait... what?", "Version 1.2.3 came out in May.", "He said: go, run, hide; then he left."]
+    docs = spark.createDataFrame([(1, "\n".join([prose, *bad, *good]))], "doc_id long, text string")
+    got = quality.judge(docs).first()
+    assert got.clean_text.split("\n") == [prose, *good] and got.n_failed_lines == len(bad) and got.kept
