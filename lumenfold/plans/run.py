@@ -31,16 +31,11 @@ def output_name(template: str, path: str) -> str:
 
 
 def read_pixels(spark: SparkSession, path: str, blocks: int = 1) -> DataFrame:
-    """Pixels of one image, with their shape and storage noted; 16 bits are told by finer steps than 1/255."""
-    rows = images.read_images(spark, path, blocks)
-    first = rows.first()
-    if first is None:
+    """Pixels of one image, with their shape and storage noted, which the file itself tells."""
+    dims, storage = images.shape_of(spark, path)
+    if not dims:
         raise ValueError(f"{path} has no pixels")
-    dims = len(first["v"])
-    from pyspark.sql import functions as F
-
-    fine = rows.where(F.exists("v", lambda c: F.abs(c * 255 - F.round(c * 255)) > 1e-6)).limit(1).count()
-    return stages.with_storage(rows, dims, "u16" if fine else "u8")
+    return stages.with_storage(images.read_images(spark, path, blocks), dims, storage)
 
 
 def render(pixels: DataFrame, plan: Pipeline) -> tuple[DataFrame, dict]:

@@ -77,6 +77,21 @@ def read_images(spark: SparkSession, paths: str | Sequence[str], blocks: int = 1
     return found[0] if len(found) == 1 else found[0].union(found[1])
 
 
+def _shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = [codecs.decode(data.as_py()) for data in batch.column("content")]
+        yield pa.RecordBatch.from_pydict({"bands": pa.array([m.shape[2] for m in made], pa.int32()), "storage": ["u8" if m.dtype == np.uint8 else "u16" for m in made]})
+
+
+def shape_of(spark: SparkSession, path: str) -> tuple[int, str]:
+    """Bands and storage of the image at ``path``, as its file says; one small job."""
+    if format_of(path) in BY_SPARK:
+        row = spark.read.format("image").load(path).select("image.nChannels").first()
+        return (row[0], "u8") if row else (0, "u8")
+    row = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_shape, "bands int, storage string").first()
+    return (row["bands"], row["storage"]) if row else (0, "u8")
+
+
 def image_from_array(spark: SparkSession, image: np.ndarray, image_id: str = "image") -> DataFrame:
     """Pixels of an array (height, width, bands) of uint8 or uint16."""
     rows = _rows(image_id, image, 0, len(image))
