@@ -7,6 +7,8 @@ the first three coordinates of embeddings, moved to [0, 1]; ``grid`` lays events
 from __future__ import annotations
 
 import math
+import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.ml import Pipeline
@@ -18,6 +20,7 @@ from ..functions import pixels as px
 from ..operators import clustering as cl
 from ..operators import otsu, palette
 from ..operators.points import Points, assign_columns
+from ..sources import images
 from . import stages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -433,7 +436,138 @@ def isodata_split_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "cid int, n long, distance double, sigma double").select("cid", "n", six(F.col("distance")).alias("distance"), six(F.col("sigma")).alias("sigma"))
 
 
-# ---------------------------------------------------------------- whole clusterings (no SQL)
+@query(
+    "isodata_split",
+    f"""WITH {_SQL_PX4}, {_sql_near('px4')}, s AS (SELECT cid, count(*) AS n, {' + '.join(f'var_pop(c{i})' for i in range(4))} AS dist, {', '.join(f'avg(c{i}) AS x{i}, stddev_pop(c{i}) AS s{i}' for i in range(4))} FROM near GROUP BY cid),
+    w AS (SELECT *, greatest(s0, s1, s2, s3) AS sigma, sum(n * dist) OVER () / sum(n) OVER () AS overall, sum(n) OVER () AS total FROM s),
+    f AS (SELECT *, sigma > 0.1 AND dist > overall AND n > 2 * (floor(0.05 * total) + 1) AS wide, CASE sigma WHEN s0 THEN 0 WHEN s1 THEN 1 WHEN s2 THEN 2 ELSE 3 END AS axis FROM w),
+    r AS (SELECT {', '.join(f'x{i} + CASE WHEN wide AND axis = {i} THEN side * sigma ELSE 0 END AS x{i}' for i in range(4))} FROM f JOIN (VALUES (1), (-1)) AS t(side) ON wide OR side = 1)
+    SELECT CAST(row_number() OVER (ORDER BY x0, x1, x2, x3) - 1 AS INTEGER) AS cluster, {', '.join(f'{_six(f"x{i}")} AS x{i}' for i in range(4))} FROM r""",
+)
+def isodata_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One splitting step over the groups of a pass."""
+    sums, groups = px4_points(spark, sf_dir).cluster_sums(CENTERS, squares=True), []
+    for n, total, _, squares in sums.values():
+        center = tuple(t / n for t in total)
+        var = [max(0.0, q / n - m * m) for q, m in zip(squares, center, strict=True)]
+        groups.append(cl._Group(center, n, sum(var), tuple(math.sqrt(v) for v in var)))
+    every = sum(g.size for g in groups)
+    made, _ = cl.split_up(groups, sum(g.size * g.distance for g in groups) / every, cl.IsodataSettings(5, 6, std_deviation=0.1), int(0.05 * every))
+    return _centers(spark, [g.center for g in made])
+
+
+# ---------------------------------------------------------------- single operators
+
+
+@query("deviation_about_mean", f"WITH {_SQL_PX4} " + " UNION ALL ".join(f"SELECT {i} AS dim, {_six(f'sqrt(avg((c{i} - {m}::DOUBLE) * (c{i} - {m}::DOUBLE)))')} AS given, {_six(f'stddev_pop(c{i})')} AS own FROM px4" for i, m in enumerate(CENTERS[1])))
+def deviation_about_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Around a given vector and around the points' own mean."""
+    points = px4_points(spark, sf_dir)
+    rows = [(i, *r) for i, r in enumerate(zip(points.deviation(CENTERS[1]), points.deviation(), strict=True))]
+    return spark.createDataFrame(rows, "dim int, given double, own double").select("dim", six(F.col("given")).alias("given"), six(F.col("own")).alias("own"))
+
+
+@query("widest_dimension", f"WITH {_SQL_PX4}, s AS (" + " UNION ALL ".join(f"SELECT {i} AS dim, max(c{i}) - min(c{i}) AS span FROM px4" for i in range(4)) + ") SELECT dim FROM s ORDER BY span DESC, dim LIMIT 1")
+def widest_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(px4_points(spark, sf_dir).widest_dimension(),)], "dim int")
+
+
+@query("mask_everything", f"WITH {_SQL_GRID} SELECT event_id, x, y FROM grid")
+def mask_everything(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid(spark, sf_dir).where(masks.everything() & masks.parse_mask(" ")).select("event_id", "x", "y")
+
+
+#: so many centers that their distances are not unrolled
+MANY = [tuple(((k * (7 + 4 * d)) % 161) / 161 for d in range(4)) for k in range(160)]
+
+
+@query(
+    "nearest_of_many",
+    f"""WITH {_SQL_PX4}, m AS (SELECT * FROM (VALUES {', '.join(f'({k}, ' + ', '.join(f'{x!r}::DOUBLE' for x in c) + ')' for k, c in enumerate(MANY))}) AS t(k, x0, x1, x2, x3)),
+    p AS (SELECT row_number() OVER () AS rid, * FROM px4),
+    n AS (SELECT rid, {_K}, min(d) AS d2 FROM (SELECT p.*, {' + '.join(f'(x{i} - c{i}) * (x{i} - c{i})' for i in range(4))} AS d FROM p, m) GROUP BY rid, {_K}) SELECT {_K}, {_six('d2')} AS d2 FROM n""",
+)
+def nearest_of_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, ch = px4(spark, sf_dir)
+    return assign_columns(rows, ch, MANY).select(*KEYS, six(F.col("d2")).alias("d2"))
+
+
+@query(
+    "otsu_circular_classes",
+    f"""WITH {_SQL_HISTOGRAM}, turned AS (SELECT s.i AS s, (bin + s.i) % 16 AS p, n FROM bins, range(16) AS s(i)),
+    cost AS (SELECT s, a.i AS a, b.i AS b, CASE WHEN sum(n) = 0 THEN 0 ELSE greatest(0, sum(n * p * p) / sum(n) - (sum(n * p) / sum(n)) * (sum(n * p) / sum(n))) END AS c
+      FROM turned JOIN range(16) AS a(i) ON p >= a.i JOIN range(17) AS b(i) ON p < b.i GROUP BY s, a.i, b.i),
+    best AS (SELECT x.s, x.b AS t, y.b AS u, round(x.c + y.c + z.c, 9) AS err FROM cost x JOIN cost y ON y.a = x.b AND x.s = y.s JOIN cost z ON z.a = y.b AND z.s = x.s WHERE x.a = 0 AND z.b = 16 ORDER BY err, x.s, t, u LIMIT 1),
+    cuts AS (SELECT 0 AS cluster, 0 AS a, t AS b, s FROM best UNION ALL SELECT 1, t, u, s FROM best UNION ALL SELECT 2, u, 16, s FROM best),
+    spans AS (SELECT cluster, (a - s + 16) % 16 AS a, 1 + (b - s + 15) % 16 AS b FROM cuts),
+    parts AS (SELECT cluster, part, v FROM spans, (VALUES (0), (1), (2), (3)) AS p(part), LATERAL (SELECT CASE WHEN a < b THEN CASE part WHEN 0 THEN a WHEN 1 THEN b END ELSE CASE part WHEN 0 THEN 0 WHEN 1 THEN b WHEN 2 THEN a ELSE 16 END END AS v))
+    SELECT CAST(cluster AS INTEGER) AS cluster, CAST(part AS INTEGER) AS part, {_six('e')} AS value FROM parts JOIN edge ON edge.i = v""",
+)
+def otsu_circular_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three classes on a circle; the one that runs through the end has four vectors."""
+    found = otsu.circular(16, 3)(grid_points(spark, sf_dir))
+    rows = [(k, i, v[0]) for k, c in enumerate(found.centers) for i, v in enumerate(c)]
+    return spark.createDataFrame(rows, "cluster int, part int, value double").withColumn("value", six(F.col("value")))
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A folder of its own where the session's tasks can read and write."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{shared.rstrip('/')}/images-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp()
+
+
+def _image_file(kind: str, blocks: int) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        at = f"{_scratch(spark)}/grid.{kind}"
+        pixels = grid_pixels(spark, sf_dir)
+        images.write_image(pixels.withColumn("v", F.array(F.lit(1.0))), at)  # overwritten by the next line
+        images.write_image(pixels, at)
+        return images.read_images(spark, at, blocks).select("y", "x", F.round(F.element_at("v", 1) * 255).cast("int").alias("stored"))
+
+    return run
+
+
+_SQL_FILE = f"""WITH {_SQL_GRID}, size AS (SELECT max(x) AS w, max(y) AS h FROM grid), place AS (SELECT py.i AS y, px.i AS x FROM size, range(0, 100000) AS py(i), range(0, 100) AS px(i) WHERE py.i <= h AND px.i <= w)
+  SELECT CAST(place.y AS INTEGER) AS y, CAST(place.x AS INTEGER) AS x, CAST(coalesce(least(255, floor(255 * c0 + 0.5)), 0) AS INTEGER) AS stored FROM place LEFT JOIN grid ON grid.x = place.x AND grid.y = place.y"""
+for _kind, _blocks in (("tiff", 1), ("tiff", 3), ("png", 2), ("bmp", 1)):
+    query(f"{_kind}_file_in_{_blocks}", _SQL_FILE)(_image_file(_kind, _blocks))
+
+
+# ---------------------------------------------------------------- whole clusterings
+
+_P = "p AS (SELECT row_number() OVER () AS rid, * FROM px4)"
+
+
+def _sql_starts(most: int, maximin: bool = False, name: str = "f") -> str:
+    """CTEs f0 (the mean) to f{most - 1}, each the farthest point from those before, as lists of four."""
+    out = [f"{name}0 AS (SELECT [{', '.join(f'avg(c{i})' for i in range(4))}] AS v FROM px4)"]
+    for k in range(1, most):
+        d = [f"({' + '.join(f'(c{i} - {name}{j}.v[{i + 1}]) * (c{i} - {name}{j}.v[{i + 1}])' for i in range(4))})" for j in range(k)]
+        least = f"least({', '.join(d)})" if k > 1 else d[0]
+        score = least if maximin else " + ".join(d)
+        out.append(f"{name}{k} AS (SELECT [c0, c1, c2, c3] AS v FROM px4, {', '.join(f'{name}{j}' for j in range(k))} WHERE {least} > 0 ORDER BY {score} DESC, {_K}, c0, c1, c2, c3 LIMIT 1)")
+    return ", ".join(out)
+
+
+def _sql_k_means(k: int, name: str, starts: str = "f") -> str:
+    """CTEs that end in ``name`` (cs, err): Lloyd's passes until the error falls by less than 5 %."""
+    d = " + ".join(f"(cs[k][{i + 1}] - c{i}) * (cs[k][{i + 1}] - c{i})" for i in range(4))
+    first = f"SELECT 0 AS it, list_sort([{', '.join(f'{starts}{j}.v' for j in range(k))}]) AS cs, 'inf'::DOUBLE AS err, false AS done FROM {', '.join(f'{starts}{j}' for j in range(k))}"
+    near = f"SELECT it, err, rid, c0, c1, c2, c3, min(d) AS d2, arg_min(k, (d, k)) AS cid FROM (SELECT it, err, p.*, k, {d} AS d FROM {name}_s, p, range(1, {k + 1}) AS t(k) WHERE NOT done) GROUP BY ALL"
+    means = f"SELECT it, err, cid, {', '.join(f'avg(c{i}) AS m{i}' for i in range(4))}, sum(d2) AS sd FROM ({near}) GROUP BY it, err, cid"
+    step = f"SELECT it + 1, list_sort(list_distinct(list([m0, m1, m2, m3]))), sum(sd), err * 0.95 <= sum(sd) FROM ({means}) GROUP BY it, err"
+    return f"{name}_s AS ({first} UNION ALL {step}), {name} AS (SELECT cs, err FROM {name}_s WHERE done)"
+
+
+def _sql_result(name: str) -> str:
+    return f"SELECT CAST(k - 1 AS INTEGER) AS cluster, {', '.join(f'{_six(f"cs[k][{i + 1}]")} AS x{i}' for i in range(4))}, {_six('err')} AS error FROM {name}, range(1, len(cs) + 1) AS t(k)"
+
+
+def _sql_elbow(least: int, most: int) -> str:
+    tried = ", ".join(_sql_k_means(k, f"k{k}") for k in range(least, most + 1))
+    every = " UNION ALL ".join(f"SELECT {k} AS k, cs, err FROM k{k}" for k in range(least, most + 1))
+    stops = "last AS (SELECT min(a.k) AS k FROM every a LEFT JOIN every b ON b.k = a.k + 1 WHERE b.k IS NULL OR NOT a.err * 0.95 > b.err)"
+    return f"WITH RECURSIVE {_SQL_PX4}, {_P}, {_sql_starts(most)}, {tried}, every AS ({every}), {stops}, chosen AS (SELECT cs, err FROM every JOIN last USING (k)) {_sql_result('chosen')}"
 
 
 def _clustered(strategy: Callable[[], cl.Strategy]) -> Query:
@@ -444,15 +578,23 @@ def _clustered(strategy: Callable[[], cl.Strategy]) -> Query:
     return run
 
 
-for _name, _strategy in {
-    "k_means": lambda: cl.k_means(4),
-    "k_means_kd_tree": lambda: cl.k_means(4, initial=cl.kd_tree_centers(max_leaf=512)),
-    "k_means_random": lambda: cl.k_means(4, initial=cl.random_centers(3), more=cl.random_replacement(3)),
-    "elbow": lambda: cl.elbow(0.95, 8, 2, cl.k_means),
-    "best_of": lambda: cl.best([cl.k_means(4), cl.k_means(4, initial=cl.random_centers(5))]),
-    "isodata": lambda: cl.isodata(cl.IsodataSettings(3, 6, max_iterations=8, lumping=0.1, std_deviation=0.2)),
-}.items():
-    QUERIES[_name] = _clustered(_strategy)
+#: No SQL where starts are random or approximate medians, or where ISODATA's course depends on what each pass finds.
+for _name, _strategy, _sql in (
+    ("k_means", lambda: cl.k_means(4), f"WITH RECURSIVE {_SQL_PX4}, {_P}, {_sql_starts(4)}, {_sql_k_means(4, 'r')} {_sql_result('r')}"),
+    ("k_means_maximin", lambda: cl.k_means(4, initial=cl.mean_and_farthest(maximin=True), more=cl.farthest(maximin=True)), f"WITH RECURSIVE {_SQL_PX4}, {_P}, {_sql_starts(4, True)}, {_sql_k_means(4, 'r')} {_sql_result('r')}"),
+    ("k_means_kd_tree", lambda: cl.k_means(4, initial=cl.kd_tree_centers(max_leaf=512)), None),
+    ("k_means_random", lambda: cl.k_means(4, initial=cl.random_centers(3), more=cl.random_replacement(3)), None),
+    ("elbow", lambda: cl.elbow(0.95, 8, 2, cl.k_means), _sql_elbow(2, 8)),
+    ("best_of", lambda: cl.best([cl.k_means(4), cl.k_means(4, initial=cl.random_centers(5))]), None),
+    (
+        "best_of_starts",
+        lambda: cl.best([cl.k_means(4), cl.k_means(4, initial=cl.mean_and_farthest(maximin=True))]),
+        f"""WITH RECURSIVE {_SQL_PX4}, {_P}, {_sql_starts(4)}, {_sql_starts(4, True, 'g')}, {_sql_k_means(4, 'a')}, {_sql_k_means(4, 'b', 'g')},
+        chosen AS (SELECT cs, err FROM (SELECT 0 AS k, * FROM a UNION ALL SELECT 1, * FROM b) ORDER BY err, k LIMIT 1) {_sql_result('chosen')}""",
+    ),
+    ("isodata", lambda: cl.isodata(cl.IsodataSettings(3, 6, max_iterations=8, lumping=0.1, std_deviation=0.2)), None),
+):
+    query(_name, _sql)(_clustered(_strategy))
 
 
 def _painted(pixels: DataFrame, plan: Pipeline) -> DataFrame:
