@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import heapq
 import re
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -281,20 +280,6 @@ def _unigram_bounds(n: Column, edges: Column, worst: float) -> Column:
     return _bind(best, back)
 
 
-SIEVE_BITS = 20
-
-
-def _may_be_piece(text: Column, table: PieceTable) -> Column:
-    """Whether the text's crc32 is that of a piece: nearly all other substrings stop here, before the join."""
-    words = np.zeros(1 << (SIEVE_BITS - 5), np.int64)
-    for p, _, _ in table.pieces:
-        h = zlib.crc32(p.encode()) & (1 << SIEVE_BITS) - 1
-        words[h >> 5] |= 1 << (h & 31)
-    sieve = F.split(F.lit(",".join(map(str, words.tolist()))), ",").cast("array<long>")
-    h = F.crc32(text.cast("binary")).bitwiseAND(F.lit((1 << SIEVE_BITS) - 1).cast("long")).cast("int")
-    return F.get(sieve, F.call_function("shiftright", h, F.lit(5))).bitwiseAND(_bit(h.bitwiseAND(F.lit(31)))) != 0
-
-
 def cut_segments(segments: DataFrame, table: PieceTable) -> DataFrame:
     """(seg, bounds) of (sid, seg): explode, equi-join, group, fold; bit i of bounds is set where a piece begins.
 
@@ -312,7 +297,7 @@ def cut_segments(segments: DataFrame, table: PieceTable) -> DataFrame:
     stands = (F.col("at") == 0) & (F.col("len") == least)
     # a segment shorter than the least edge has none, though its stand-in may spell a piece
     fits = F.col("id").isNotNull() & (F.col("at") + F.col("len") <= size)
-    edges = spans.where(stands | _may_be_piece(F.col("piece"), table)).join(pieces, "piece", "left").where(fits | stands)
+    edges = spans.join(pieces, "piece", "left").where(fits | stands)
     if table.unigram:
         edge = F.struct("at", "len", "score")
         bounds = _unigram_bounds(F.col("n"), F.col("edges"), min((s for _, _, s in table.pieces), default=0.0) - 10.0)
