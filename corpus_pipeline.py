@@ -8,7 +8,6 @@ to the shared folder and hands it to the next stage. All stages but the last ret
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lumenfold.llm import linededup, mixing, neardup, pieces, quality
 from lumenfold.llm._common import materialize
@@ -38,8 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document of the mix, and the digest of the text that they decode to."""
     table = pieces.load_model(f"{TOKENIZERS}/piece_bpe_32k.model")
-    decoded = pieces.decode(pieces.encode(docs, table), table)
-    return decoded.withColumn("decoded_sha256", F.sha2(F.encode("decoded", "UTF-8"), 256)).drop("decoded")
+    return pieces.encode(docs, table, digest=True)
 
 
 STAGES = [

@@ -22,6 +22,7 @@ library itself.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 from collections.abc import Callable, Iterator
@@ -38,8 +39,6 @@ from pyspark.sql import types as T
 
 SPACE = "▁"
 LONGEST = 60
-#: between the pieces of a vocabulary in one literal; no piece holds it
-SEPARATOR = "\ue000\ue001"
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -476,10 +475,33 @@ class _WordIds:
         return np.fromiter((self.known[w] for w in words), np.int64, len(words))
 
 
-def _write_out(table: PieceTable, columns: list[str]):
+def _names(table: PieceTable) -> pa.Array:
+    """The bytes of each id, and none at the end for ids outside the vocabulary."""
+    return pa.array([*table.names, b""], pa.large_binary())
+
+
+def _spell_out(names: pa.Array, dummy_prefix: bool, ids: pa.Array) -> pa.Array:
+    """Texts of lists of ids."""
+    last = len(names) - 1
+    flat = ids.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+    pieces = names.take(pa.array(np.where((flat < 0) | (flat > last), last, flat)))
+    ends = np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    _, offsets, data = pieces.buffers()
+    stops = np.frombuffer(offsets, np.int64, len(pieces) + 1, pieces.offset * 8)[np.concatenate([[0], ends])] if len(pieces) else np.zeros(len(ids) + 1, np.int64)
+    whole = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(stops), data])
+    try:
+        texts = whole.cast(pa.large_string())
+    except pa.ArrowInvalid:  # bytes that are no UTF-8
+        texts = pa.array([x.decode("utf-8", "replace") for x in whole.to_pylist()], pa.large_string())
+    texts = pc.replace_substring(texts, SPACE, " ")
+    return (pc.replace_substring_regex(texts, r"\A ", "", max_replacements=1) if dummy_prefix else texts).cast(pa.string())
+
+
+def _write_out(table: PieceTable, columns: list[str], digest: bool):
+    made_here = ["n_tokens", "ids", *["decoded_sha256"] * digest]
     def run(rows: pa.Table, encoded: pa.Table) -> pa.Table:
         words = _WordIds(table, _strings(_whole(encoded.column("seg"))), _whole(encoded.column("bounds")).to_numpy(zero_copy_only=False))
-        made, plainly = [], splits_plainly(table)
+        made, plainly, names = [], splits_plainly(table), _names(table)
         for blob in rows.column("blob"):
             part = _unpack(blob.as_py())
             listed, codes, counts, order = column_words(_whole(part.column("text")), table, plainly)
@@ -488,8 +510,12 @@ def _write_out(table: PieceTable, columns: list[str]):
             total = np.concatenate([[0], np.cumsum(words.sizes[place])])
             at = total[np.concatenate([[0], np.cumsum(counts)])]
             out = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(coded)).take(pa.array(order))
-            rest = part.select([c for c in columns if c not in ("n_tokens", "ids")])
-            made.append(rest.append_column("n_tokens", pa.array(np.diff(at)[order], pa.int64())).append_column("ids", out))
+            done = part.select([c for c in columns if c not in made_here])
+            done = done.append_column("n_tokens", pa.array(np.diff(at)[order], pa.int64())).append_column("ids", out)
+            if digest:  # blob by blob, so that the decoded text of a chunk is never held at once
+                texts = _spell_out(names, table.dummy_prefix, out)
+                done = done.append_column("decoded_sha256", pa.array([hashlib.sha256(x).hexdigest() for x in texts.cast(pa.binary()).to_pylist()], pa.string()))
+            made.append(done)
         return pa.concat_tables(made)
 
     return run
@@ -502,37 +528,42 @@ def _labels(spark: SparkSession, chunks: int) -> list[int]:
     return [found.get(k, 64 * chunks + 64 + k) for k in range(chunks)]
 
 
-def encode(docs: DataFrame, table: PieceTable, chunk_bytes: int = 36 << 20) -> DataFrame:
-    """Rows of ``docs`` without their text, with n_tokens and ids (array of int)."""
+def encode(docs: DataFrame, table: PieceTable, chunk_bytes: int = 36 << 20, digest: bool = False) -> DataFrame:
+    """Rows of ``docs`` without their text, with n_tokens and ids (array of int); with ``digest`` also
+    decoded_sha256, the SHA-256 of the text that the ids decode to, worked out where they are written."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = 1 + size // chunk_bytes
-    docs = docs.drop("n_tokens", "ids")
+    docs = docs.drop("n_tokens", "ids", *["decoded_sha256"] * digest)
     rest = [f for f in docs.schema.fields if f.name != "text"]
-    out = T.StructType([*rest, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    out = T.StructType([*rest, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), *[T.StructField("decoded_sha256", T.StringType())] * digest])
     blobs = docs.mapInArrow(_pack(_labels(docs.sparkSession, chunks)), "chunk int, blob binary").repartition(chunks, "chunk")
     # counts of their own: a segment becomes dozens of lattice rows, which its shuffled size does not tell
     listed = blobs.groupBy("chunk").applyInArrow(_list_segments(table), "chunk int, seg string").repartition(4 * chunks, "seg")
     # the chunk is kept in use: without it the list would be another shuffle than the one joined below
     segments = listed.groupBy("seg").agg(F.min("chunk").alias("sid"))
     encoded = listed.join(cut_segments(segments, table).hint("merge"), "seg").select("chunk", "seg", "bounds")
-    return blobs.groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(_write_out(table, out.names), out)
+    return blobs.groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(_write_out(table, out.names, digest), out)
 
 
-def decode(rows: DataFrame, table: PieceTable, ids: str = "ids") -> DataFrame:
-    """``rows`` with the text of their ids as ``decoded``; ids outside the vocabulary are skipped.
+def decode(rows: DataFrame, table: PieceTable, ids: str = "ids", most: int = 1 << 20) -> DataFrame:
+    """``rows`` with the text of their ids as ``decoded``, their last column; null ids and ids outside the
+    vocabulary are skipped.
 
-    Native: the pieces are one literal array as long as the vocabulary.
+    In Arrow, some ``most`` ids at a time (a longer list by itself): as an expression, the vocabulary would stand
+    in every description of the plan that the driver keeps.
     """
-    listed = F.coalesce(F.col(ids), F.array().cast("array<int>"))
-    joined = lambda parts: F.array_join(F.transform(listed, lambda i: F.get(F.split(F.lit(SEPARATOR.join(parts)), SEPARATOR), i)), "")
-    # pieces that are text by themselves are joined as they are; the others, bytes from 128 on, in hexadecimal
-    alone = [n.decode("utf-8", "ignore") for n in table.names]
-    parts = [i for i, (n, t) in enumerate(zip(table.names, alone, strict=True)) if t.encode() != n]
-    text = joined(alone)
-    if parts:
-        hexed = F.make_valid_utf8(F.unhex(joined([n.hex() for n in table.names])).cast("string"))
-        text = F.when(F.exists(listed, lambda i: i.between(min(parts), max(parts))), hexed).otherwise(text)
-    text = F.replace(text, F.lit(SPACE), F.lit(" "))
-    if table.dummy_prefix:
-        text = F.when(F.startswith(text, F.lit(" ")), F.substring(text, 2, 2**31 - 1)).otherwise(text)
-    return rows.withColumn("decoded", text)
+    rows = rows.drop("decoded")
+    names = _names(table)
+    out, dummy_prefix = T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]), table.dummy_prefix
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(batch.column(ids).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+                part = batch.slice(at, to - at)
+                at = to
+                yield pa.RecordBatch.from_arrays([*part.columns, _spell_out(names, dummy_prefix, part.column(ids))], names=out.names)
+
+    return rows.mapInArrow(run, out)

@@ -45,8 +45,7 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = pieces.load_model(f"{TOKENIZERS}/piece_bpe_32k.model")
-    encoded = pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), table)
-    return pieces.decode(encoded, table).select("doc_id", "n_tokens", "ids", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+    return pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), table, digest=True)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import os
 import random
@@ -38,6 +39,18 @@ def test_odd_rows(spark):
     assert got.columns == [c for c in docs.columns if c != "text"] + ["n_tokens", "ids", "decoded"]
     assert sorted(r.decoded for r in got.collect()) == sorted(r.text or "" for r in docs.collect())
     assert pieces.encode(empty_documents(spark), table).count() == 0
+    digests = pieces.encode(docs.withColumn("decoded_sha256", F.lit("of another")), table, digest=True)
+    assert digests.columns == [c for c in docs.columns if c != "text"] + ["n_tokens", "ids", "decoded_sha256"]
+    assert sorted(r.decoded_sha256 for r in digests.collect()) == sorted(hashlib.sha256((r.text or "").encode()).hexdigest() for r in docs.collect())
+
+
+@needs_model
+def test_decoding_a_few_ids_at_a_time(spark):
+    table = pieces.load_model(MODEL)
+    rows = [(i, [table.byte0 + 65 + k for k in range(i % 7)] if i % 5 else None) for i in range(40)]
+    docs = spark.createDataFrame(rows, "i int, ids array<int>").coalesce(1)
+    want = {i: "".join(chr(65 + k) for k in range(len(x or []))) for i, x in rows}
+    assert {r.i: r.decoded for r in pieces.decode(docs, table, most=4).collect()} == want
 
 
 @needs_model
