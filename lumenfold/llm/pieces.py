@@ -433,10 +433,14 @@ def _gather(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarr
 class _WordIds:
     """Ids of words from the encodings of their segments; remembers a bounded number of words."""
 
-    def __init__(self, table: PieceTable, segments: list[str], bounds: np.ndarray, most: int = 500_000):
+    def __init__(self, table: PieceTable, segments: list[str], bounds: np.ndarray, most: int = 500_000, at_once: int = 1 << 14):
         self.table, self.segs, self.most = table, dict(zip(segments, range(len(segments)), strict=True)), most
         self.cut, self.by_piece = Cutter(table), _pieces_by_text(table)
-        self.ids, ends = ids_between(segments, bounds, table, self.by_piece)
+        # some at a time: the pieces of a whole chunk as strings would be the most that the task holds
+        parts = [ids_between(segments[k : k + at_once], bounds[k : k + at_once], table, self.by_piece) for k in range(0, len(segments), at_once)]
+        before = np.cumsum([0, *(len(ids) for ids, _ in parts)])
+        self.ids = np.concatenate([np.zeros(0, np.int32), *(ids for ids, _ in parts)])
+        ends = np.concatenate([np.zeros(0, np.int64), *(upto + b for (_, upto), b in zip(parts, before, strict=False))])
         self.at = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
         self.size = ends - self.at
         self._forget()

@@ -3,6 +3,7 @@ import itertools
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +102,14 @@ def test_segments_cut_only_where_no_piece_reaches():
     table = pieces.PieceTable((("ab", 1, -1.0), ("▁a", 2, -2.0), ("語x", 3, -3.0)), unigram=False)
     segs, ends = pieces.Cutter(table)(["▁ab", "ba", "語xy", "q"])
     assert segs == ["▁ab", "b", "a", "語x", "y", "q"] and ends.tolist() == [1, 3, 5, 6]
+
+
+def test_segments_encoded_a_few_at_a_time():
+    table = pieces.PieceTable((("ab", 1, -1.0), ("a", 2, -2.0), ("b", 3, -3.0)), unigram=False)
+    segments, bounds = ["ab", "aba", "b", "xab"], np.array([0b101, 0b1101, 0b11, 0b1011])
+    whole = pieces._WordIds(table, segments, bounds)
+    for at_once in (1, 2, 3):
+        parts = pieces._WordIds(table, segments, bounds, at_once=at_once)
+        assert parts.ids.tolist() == whole.ids.tolist() == [1, 1, 2, 3, 0, 1]
+        assert parts.at.tolist() == whole.at.tolist() and parts.size.tolist() == whole.size.tolist()
+    assert pieces._WordIds(table, [], np.zeros(0, np.int64)).ids.tolist() == []
