@@ -22,6 +22,7 @@ library itself.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import heapq
 import re
@@ -106,10 +107,19 @@ class Cutter:
 
     def __call__(self, words: list[str]) -> tuple[list[str], np.ndarray]:
         """All segments of ``words`` (none empty) in order, and where each word's segments end."""
-        if not words:
-            return [], np.zeros(0, np.int64)
-        whole = "".join(words)
-        code = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        segments, ends = self.segments(pa.array(words, pa.large_string()))
+        return segments.to_pylist(), ends
+
+    def segments(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The same of large strings in Arrow: the segments share the words' bytes, none becomes a Python object."""
+        if not len(words):
+            return pa.array([], pa.large_string()), np.zeros(0, np.int64)
+        _, offsets, data = words.buffers()
+        upto = np.frombuffer(offsets, np.int64, len(words) + 1, words.offset * 8)
+        data = data.slice(int(upto[0]), int(upto[-1] - upto[0]))
+        code = np.frombuffer(str(data, "utf-8").encode("utf-32-le"), np.uint32).copy()
+        # bytes up to and with each code point
+        bytes_to = np.cumsum(1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000))
         code[code == ord(SPACE)] = 1
         a, b = code[:-1], code[1:]
         linked = np.zeros(len(a), bool)
@@ -119,12 +129,12 @@ class Cutter:
             key = (a[~low].astype(np.uint64) << np.uint64(32)) | b[~low].astype(np.uint64)
             at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
             linked[~low] = self.pairs[at] == key
-        ends = np.cumsum([len(w) for w in words])
+        ends = np.searchsorted(bytes_to, upto[1:] - upto[0]) + 1
         cut = np.append(~linked, True)
         cut[ends - 1] = True
         stops = np.flatnonzero(cut) + 1
-        listed = stops.tolist()
-        return [whole[x:y] for x, y in zip([0, *listed], listed, strict=False)], np.searchsorted(stops, ends) + 1
+        bounds = np.concatenate([[0], bytes_to[stops - 1]])
+        return pa.LargeStringArray.from_buffers(len(stops), pa.py_buffer(bounds), data), np.searchsorted(stops, ends) + 1
 
 
 def words_of(text: str | None, table: PieceTable) -> list[str]:
@@ -350,6 +360,13 @@ def encode_segments(segments: DataFrame, table: PieceTable) -> DataFrame:
 # ---------------------------------------------------------------- documents
 
 
+def _give_back() -> None:
+    """Free memory of Arrow and of C goes back to the system: a worker keeps it else, in a blob's loop and when it is idle."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def _pack(labels: list[int], blob_bytes: int = 2 << 20):
     """Rows as compressed Arrow blobs of about ``blob_bytes`` each, given to a chunk."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,6 +382,8 @@ def _pack(labels: list[int], blob_bytes: int = 2 << 20):
                     out.write_table(part)
                 blob = squeeze.compress(sink.getvalue())
                 yield pa.RecordBatch.from_arrays([pa.array([labels[xxhash.xxh3_64_intdigest(blob) % len(labels)]], pa.int32()), pa.array([blob], pa.binary())], names=["chunk", "blob"])
+            batch = part = None  # not held while the next one is read
+            _give_back()
 
     return run
 
@@ -382,9 +401,9 @@ def _strings(column: pa.Array) -> list[str]:
     return column.to_numpy(zero_copy_only=False).tolist()
 
 
-def column_words(texts: pa.Array, table: PieceTable, plainly: bool) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """(words, codes, counts, order): the words of a column of texts, nearly all once, each occurrence as a
-    place in ``words``, the occurrences of each text, and where each text stands among the counts.
+def column_words(texts: pa.Array, table: PieceTable, plainly: bool) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, codes, counts, order): the words of a column of texts as large strings, nearly all once, each occurrence
+    as a place in ``words``, the occurrences of each text, and where each text stands among the counts.
 
     With ``plainly`` most texts are cut by Arrow at single spaces and before line feeds, which no piece
     holds; those with runs of spaces or the space sign take the pattern of ``words_of``.
@@ -393,7 +412,9 @@ def column_words(texts: pa.Array, table: PieceTable, plainly: bool) -> tuple[lis
     odd = pc.match_substring_regex(texts, f"^$|^ |  |{SPACE}").to_numpy(zero_copy_only=False).astype(bool) if plainly else np.ones(len(texts), bool)
     plain = pc.split_pattern(pc.replace_substring(texts.filter(pa.array(~odd)), "\n", " \n"), " ")
     found = plain.flatten().dictionary_encode()
-    words = [w if w[:1] == "\n" else SPACE + w for w in _strings(found.dictionary)]
+    listed = found.dictionary.cast(pa.large_string())
+    sign = pc.if_else(pc.starts_with(listed, "\n"), pa.scalar("", pa.large_string()), pa.scalar(SPACE, pa.large_string()))
+    words = pc.binary_join_element_wise(sign, listed, pa.scalar("", pa.large_string()))
     codes = [found.indices.to_numpy(zero_copy_only=False).astype(np.int64)]
     counts = [pc.list_value_length(plain).to_numpy(zero_copy_only=False).astype(np.int64)]
     place: dict[str, int] = {}
@@ -403,7 +424,7 @@ def column_words(texts: pa.Array, table: PieceTable, plainly: bool) -> tuple[lis
         counts.append(np.array([len(own)], np.int64))
     order = np.empty(len(texts), np.int64)
     order[np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])] = np.arange(len(texts))
-    return words + list(place), np.concatenate(codes), np.concatenate(counts), order
+    return pa.concat_arrays([words, pa.array(list(place), pa.large_string())]), np.concatenate(codes), np.concatenate(counts), order
 
 
 def _whole(column: pa.ChunkedArray) -> pa.Array:
@@ -413,13 +434,12 @@ def _whole(column: pa.ChunkedArray) -> pa.Array:
 
 def _list_segments(table: PieceTable):
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        cut, plainly, seen, found = Cutter(table), splits_plainly(table), set(), set()
+        cut, plainly, segs = Cutter(table), splits_plainly(table), pa.array([], pa.large_string())
         for blob in rows.column("blob"):
-            words = set(column_words(_whole(_unpack(blob.as_py()).column("text")), table, plainly)[0]) - seen
-            seen |= words
-            found.update(cut(list(words))[0])
-        segs = [s for s in found if len(s) <= LONGEST]
-        return pa.table({"chunk": pa.array([key[0].as_py()] * len(segs), pa.int32()), "seg": pa.array(segs, pa.string())})
+            new = cut.segments(column_words(_whole(_unpack(blob.as_py()).column("text")), table, plainly)[0])[0].unique()
+            segs = pa.concat_arrays([segs, new.filter(pc.less_equal(pc.utf8_length(new), LONGEST))]).unique()
+            _give_back()
+        return pa.table({"chunk": pa.array([key[0].as_py()] * len(segs), pa.int32()), "seg": segs.cast(pa.string())})
 
     return run
 
@@ -431,52 +451,46 @@ def _gather(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarr
 
 
 class _WordIds:
-    """Ids of words from the encodings of their segments; remembers a bounded number of words."""
+    """Ids of words from the encodings of their segments, which stay in Arrow: as keys of a dictionary, with the words
+    seen so far in another, they took most of the memory of a chunk's task."""
 
-    def __init__(self, table: PieceTable, segments: list[str], bounds: np.ndarray, most: int = 500_000, at_once: int = 1 << 14):
-        self.table, self.segs, self.most = table, dict(zip(segments, range(len(segments)), strict=True)), most
+    def __init__(self, table: PieceTable, segments: list[str] | pa.Array, bounds: np.ndarray, at_once: int = 1 << 14):
+        self.table, self.segs = table, pa.array(segments, pa.large_string()) if isinstance(segments, list) else segments.cast(pa.large_string())
         self.cut, self.by_piece = Cutter(table), _pieces_by_text(table)
         # some at a time: the pieces of a whole chunk as strings would be the most that the task holds
-        parts = [ids_between(segments[k : k + at_once], bounds[k : k + at_once], table, self.by_piece) for k in range(0, len(segments), at_once)]
+        parts = [ids_between(_strings(self.segs.slice(k, at_once)), bounds[k : k + at_once], table, self.by_piece) for k in range(0, len(self.segs), at_once)]
         before = np.cumsum([0, *(len(ids) for ids, _ in parts)])
         self.ids = np.concatenate([np.zeros(0, np.int32), *(ids for ids, _ in parts)])
         ends = np.concatenate([np.zeros(0, np.int64), *(upto + b for (_, upto), b in zip(parts, before, strict=False))])
         self.at = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
         self.size = ends - self.at
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.pool, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _long(self, segment: str) -> list[int]:
         return (viterbi_long if self.table.unigram else merge_long)(segment, self.table, self.by_piece)
 
-    def learn(self, words: list[str]) -> np.ndarray:
-        """Where each of ``words`` stands among ``starts`` and ``sizes``, its stretch of ``pool``."""
-        if len(self.known) > self.most:
-            self._forget()
-        new = [w for w in words if w not in self.known]
-        segments, ends = self.cut(new)
-        place = np.fromiter((self.segs.get(s, -1) for s in segments), np.int64, len(segments))
+    def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pool, starts, sizes): each word's ids are its stretch of ``pool``."""
+        segments, ends = self.cut.segments(words)
+        segments = segments.dictionary_encode()
+        # the words' segments are the set that is hashed, as they are fewer than the chunk's
+        found = pc.index_in(self.segs, value_set=segments.dictionary).fill_null(-1).to_numpy(zero_copy_only=False)
+        held = np.flatnonzero(found >= 0)
+        place = np.full(len(segments.dictionary), -1, np.int64)
+        place[found[held]] = held
         long = np.flatnonzero(place < 0)
-        made = [np.array(self._long(segments[k]), np.int32) for k in long.tolist()]
+        made = [np.array(self._long(s), np.int32) for s in segments.dictionary.take(pa.array(long)).to_pylist()]
         ids, at, size = self.ids, self.at, self.size
         if made:
             place[long] = len(at) + np.arange(len(made))
             size = np.append(size, [len(x) for x in made])
             at = np.append(at, len(ids) + np.cumsum([0, *(len(x) for x in made[:-1])]))
             ids = np.concatenate([ids, *made])
-        coded = _gather(ids, at[place], size[place])
+        place = place[segments.indices.to_numpy(zero_copy_only=False)]
         total = np.concatenate([[0], np.cumsum(size[place])])
         # ends of the words' segments to ends of their ids
         stops = total[ends] if len(ends) else np.zeros(0, np.int64)
-        begins = np.concatenate([[0], stops[:-1]]).astype(np.int64) if len(stops) else stops
-        self.known.update(zip(new, range(len(self.starts), len(self.starts) + len(new)), strict=True))
-        self.starts = np.append(self.starts, len(self.pool) + begins)
-        self.sizes = np.append(self.sizes, stops - begins)
-        self.pool = np.append(self.pool, coded)
-        return np.fromiter((self.known[w] for w in words), np.int64, len(words))
+        starts = np.concatenate([[0], stops[:-1]]).astype(np.int64) if len(stops) else stops
+        return _gather(ids, at[place], size[place]), starts, stops - starts
 
 
 def _names(table: PieceTable) -> pa.Array:
@@ -503,23 +517,27 @@ def _spell_out(names: pa.Array, dummy_prefix: bool, ids: pa.Array) -> pa.Array:
 
 def _write_out(table: PieceTable, columns: list[str], digest: bool):
     made_here = ["n_tokens", "ids", *["decoded_sha256"] * digest]
+    kept = [c for c in columns if c not in made_here]
     def run(rows: pa.Table, encoded: pa.Table) -> pa.Table:
-        words = _WordIds(table, _strings(_whole(encoded.column("seg"))), _whole(encoded.column("bounds")).to_numpy(zero_copy_only=False))
+        words = _WordIds(table, _whole(encoded.column("seg")), _whole(encoded.column("bounds")).to_numpy(zero_copy_only=False))
         made, plainly, names = [], splits_plainly(table), _names(table)
         for blob in rows.column("blob"):
             part = _unpack(blob.as_py())
             listed, codes, counts, order = column_words(_whole(part.column("text")), table, plainly)
-            place = words.learn(listed)[codes]
-            coded = _gather(words.pool, words.starts[place], words.sizes[place])
-            total = np.concatenate([[0], np.cumsum(words.sizes[place])])
+            pool, starts, sizes = words.encode(listed)
+            sizes = sizes[codes]
+            coded = _gather(pool, starts[codes], sizes)
+            total = np.concatenate([[0], np.cumsum(sizes)])
             at = total[np.concatenate([[0], np.cumsum(counts)])]
             out = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(coded)).take(pa.array(order))
-            done = part.select([c for c in columns if c not in made_here])
-            done = done.append_column("n_tokens", pa.array(np.diff(at)[order], pa.int64())).append_column("ids", out)
+            # copied, as columns that are slices of the blob would hold its texts until the chunk is done
+            whole = pa.array(np.arange(part.num_rows))
+            done = [*(part.column(c).take(whole) for c in kept), pa.array(np.diff(at)[order], pa.int64()), out]
             if digest:  # blob by blob, so that the decoded text of a chunk is never held at once
                 texts = _spell_out(names, table.dummy_prefix, out)
-                done = done.append_column("decoded_sha256", pa.array([hashlib.sha256(x).hexdigest() for x in texts.cast(pa.binary()).to_pylist()], pa.string()))
-            made.append(done)
+                done.append(pa.array([hashlib.sha256(x).hexdigest() for x in texts.cast(pa.binary()).to_pylist()], pa.string()))
+            made.append(pa.table(done, names=[*kept, *made_here]))
+            _give_back()
         return pa.concat_tables(made)
 
     return run

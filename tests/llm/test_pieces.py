@@ -2,8 +2,10 @@ import hashlib
 import itertools
 import os
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +115,33 @@ def test_segments_encoded_a_few_at_a_time():
         assert parts.ids.tolist() == whole.ids.tolist() == [1, 1, 2, 3, 0, 1]
         assert parts.at.tolist() == whole.at.tolist() and parts.size.tolist() == whole.size.tolist()
     assert pieces._WordIds(table, [], np.zeros(0, np.int64)).ids.tolist() == []
+
+
+def test_a_chunk_that_is_written_keeps_no_texts():
+    table = pieces.PieceTable((("ab", 1, -1.0), ("a", 2, -2.0), ("b", 3, -3.0), ("aa", 4, -4.0), ("ba", 5, -5.0), ("bb", 6, -6.0)), unigram=False)
+    random.seed(7)
+    texts = [" ".join("".join(random.choice("cdefghij") for _ in range(3)) + "".join(random.choice("ab") for _ in range(14)) for _ in range(2000)) for _ in range(20)]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [k], "text": [t]}) for k, t in enumerate(texts)]
+    rows = pa.Table.from_batches(list(pieces._pack([0])(iter([batches[0].slice(0, 0), *batches]))))
+    chunk = pieces._list_segments(table)((pa.scalar(0, pa.int32()),), rows)
+    size = np.array([len(s) for s in chunk.column("seg").to_pylist()])
+    encoded = chunk.append_column("bounds", pa.array((1 << size + 1) - 1))
+    assert len(encoded) > 10_000
+    tracemalloc.start()
+    try:
+        out = pieces._write_out(table, ["doc_id", "n_tokens", "ids"], False)(rows, encoded)
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert held < 100_000  # no blob of texts behind the columns that pass through
+    got = dict(zip(out.column("doc_id").to_pylist(), out.column("ids").to_pylist(), strict=True))
+    by_char = {"a": [2], "b": [3], "▁": [0]}
+    for k, t in enumerate(texts):
+        assert got[k] == [i for c in "▁" + t.replace(" ", "▁") for i in by_char.get(c, [0])]
+
+
+def test_segments_of_a_slice_of_words():
+    table = pieces.PieceTable((("ab", 1, -1.0), ("語x", 2, -2.0), ("😀a", 3, -3.0)), unigram=False)
+    words = ["zz", "é語xy", "😀ab", "▁", "q😀"]
+    segs, ends = pieces.Cutter(table).segments(pa.array(words, pa.large_string()).slice(1, 3))
+    assert segs.to_pylist() == ["é", "語x", "y", "😀ab", "▁"] and ends.tolist() == [3, 4, 5]
