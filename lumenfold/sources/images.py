@@ -2,12 +2,13 @@
 
 TIFF, PNG and BMP are decoded on the executors from Spark's binary file source, in blocks of lines,
 so that one large image is read by many tasks; JPEG and GIF through Spark's image source. An image
-is encoded by one task from its own rows: one output file is the unit.
+is encoded by many tasks, a strip of lines at a time; only encoded strips come together in one place.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import uuid
+from collections.abc import Iterable, Iterator, Sequence
 from pathlib import PurePosixPath
 
 import numpy as np
@@ -30,10 +31,10 @@ def format_of(path: str, given: str | None = None) -> str:
     return given or FORMATS.get(PurePosixPath(path).suffix.lower().lstrip("."), "tiff")
 
 
-def _rows(name: str, image: np.ndarray, first: int, last: int) -> pa.RecordBatch:
-    part = image[first:last]
+def _rows(name: str, part: np.ndarray, first: int) -> pa.RecordBatch:
+    """Pixels of some lines, of which ``first`` is the first."""
     height, width, bands = part.shape
-    most = 255.0 if image.dtype == np.uint8 else 65535.0
+    most = 255.0 if part.dtype == np.uint8 else 65535.0
     values = pa.array((part.reshape(-1).astype(np.float64) / most))
     offsets = pa.array(np.arange(0, height * width * bands + 1, bands, dtype=np.int32))
     y, x = np.mgrid[first : first + height, 0:width].astype(np.int32)
@@ -44,20 +45,25 @@ def _decode(lines: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, block, blocks, data in zip(*(batch.column(c) for c in ("path", "block", "blocks", "content")), strict=True):
-                image = codecs.decode(data.as_py())
-                each = -(-len(image) // blocks.as_py())
-                for y in range(block.as_py() * each, min(len(image), (block.as_py() + 1) * each), lines):
-                    yield _rows(name.as_py(), image, y, min(y + lines, (block.as_py() + 1) * each, len(image)))
+                file = memoryview(data.as_buffer())  # encoded, and not copied
+                height = codecs.shape(file)[0][0]
+                each = -(-height // blocks.as_py())
+                y = block.as_py() * each
+                for part in codecs.lines(file, y, y + each, lines):
+                    yield _rows(name.as_py(), part, y)
+                    y += len(part)
 
     return run
 
 
 def _from_spark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for name, h, w, n, data in zip(*(batch.column(c).to_pylist() for c in ("origin", "height", "width", "nChannels", "data")), strict=True):
-            image = np.frombuffer(data, np.uint8).reshape(h, w, n)
+        for name, h, w, n, data in zip(*(batch.column(c) for c in ("origin", "height", "width", "nChannels", "data")), strict=True):
+            h, w, n = h.as_py(), w.as_py(), n.as_py()
+            image = np.frombuffer(data.as_buffer(), np.uint8).reshape(h, w, n)
             image = image[:, :, 2::-1] if n == 3 else image[:, :, [2, 1, 0, 3]] if n == 4 else image
-            yield _rows(name, image, 0, h)
+            for y in range(0, h, codecs.STRIP):
+                yield _rows(name.as_py(), image[y : y + codecs.STRIP], y)
 
 
 def read_images(spark: SparkSession, paths: str | Sequence[str], blocks: int = 1) -> DataFrame:
@@ -79,8 +85,8 @@ def read_images(spark: SparkSession, paths: str | Sequence[str], blocks: int = 1
 
 def _shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        made = [codecs.decode(data.as_py()) for data in batch.column("content")]
-        yield pa.RecordBatch.from_pydict({"bands": pa.array([m.shape[2] for m in made], pa.int32()), "storage": ["u8" if m.dtype == np.uint8 else "u16" for m in made]})
+        made = [codecs.shape(memoryview(data.as_buffer())) for data in batch.column("content")]
+        yield pa.RecordBatch.from_pydict({"bands": pa.array([size[2] for size, _ in made], pa.int32()), "storage": ["u8" if dtype == np.uint8 else "u16" for _, dtype in made]})
 
 
 def shape_of(spark: SparkSession, path: str) -> tuple[int, str]:
@@ -94,7 +100,7 @@ def shape_of(spark: SparkSession, path: str) -> tuple[int, str]:
 
 def image_from_array(spark: SparkSession, image: np.ndarray, image_id: str = "image") -> DataFrame:
     """Pixels of an array (height, width, bands) of uint8 or uint16."""
-    rows = _rows(image_id, image, 0, len(image))
+    rows = _rows(image_id, image, 0)
     return spark.createDataFrame(pa.Table.from_batches([rows]))
 
 
@@ -103,22 +109,87 @@ def read_paths(spark: SparkSession, path: str) -> list[str]:
     return [r[0].strip() for r in spark.read.text(path).collect() if r[0].strip()]
 
 
-def _encode(kind: str):
+#: Formats that this library writes itself; the JVM's writers take the others from a PNG.
+OWN = ("tiff", "png", "bmp")
+#: what the strips of an image have in common
+SIZE = ("image_id", "height", "width", "bands", "each")
+STRIPS = "image_id string, height int, width int, bands int, each int, strip int, content binary, length int, check long"
+
+
+def _encode_strip(kind: str):
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        name, height, width, bands, each, strip = (k.as_py() for k in key)
+        first = strip * each
+        y, x = rows.column("y").to_numpy() - first, rows.column("x").to_numpy()
+        v = rows.column("v").combine_chunks()
+        if not (v.value_lengths().to_numpy(zero_copy_only=False) == bands).all():
+            raise ValueError("the pixels of an image differ in their number of channels")
+        part = np.zeros((min(each, height - first), width, bands), np.uint8)
+        part[y, x] = v.flatten().fill_null(0).to_numpy(zero_copy_only=False).reshape(-1, bands)
+        content, length, check = codecs.encode_strip(part, kind, first + each >= height)
+        return pa.table([pa.array([c], t) for c, t in zip((name, height, width, bands, each, strip, content, length, check), (pa.string(), *[pa.int32()] * 5, pa.binary(), pa.int32(), pa.int64()), strict=True)], STRIPS.replace(",", "").split()[::2])
+
+    return run
+
+
+def _strips(pixels: DataFrame, kind: str) -> DataFrame:
+    """The encoded strips of each image of ``pixels``, by lines that have a pixel at all."""
+    stored = pixels.select("image_id", "y", "x", F.transform("v", lambda c: raw(c, "u8").cast("int")).alias("v"))
+    sizes = pixels.groupBy(F.col("image_id").alias("__id")).agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"), F.max(F.size("v")).alias("bands"), F.least(F.min("y"), F.min("x")).alias("__least"))
+    lines = F.greatest(F.lit(1), F.least(F.lit(codecs.STRIP), F.floor(F.lit(codecs.STRIP_BYTES) / (F.col("width") * F.col("bands"))))).cast("int")
+    checked = F.when(F.col("__least") < 0, F.raise_error(F.lit("a pixel lies outside of its image")).cast("int")).otherwise(lines)
+    sized = stored.join(F.broadcast(sizes.withColumn("each", checked)), F.col("image_id").eqNullSafe(F.col("__id")))
+    return sized.select(*SIZE, F.floor(F.col("y") / F.col("each")).cast("int").alias("strip"), "y", "x", "v").groupBy(*SIZE, "strip").applyInArrow(_encode_strip(kind), STRIPS)
+
+
+class _Blank:
+    """Encoded strips without a pixel."""
+
+    def __init__(self, kind: str, height: int, width: int, bands: int, each: int):
+        self.kind, self.height, self.width, self.bands, self.each, self.made = kind, height, width, bands, each, {}
+
+    def __call__(self, strip: int) -> tuple[bytes, int, int]:
+        n = min(self.each, self.height - strip * self.each)
+        end = (strip + 1) * self.each >= self.height
+        if (n, end) not in self.made:
+            self.made[n, end] = codecs.encode_strip(np.zeros((n, self.width, self.bands), np.uint8), self.kind, end)
+        return self.made[n, end]
+
+
+def _file(kind: str, size: tuple[int, int, int, int], known: dict[int, tuple[int, int]], contents: Iterable[tuple[int, bytes]]) -> Iterator[bytes]:
+    """The pieces of a file in order, from the strips that there are, in the file's order."""
+    height, width, bands, each = size
+    blank, count = _Blank(kind, *size), -(-height // each)
+    frame = codecs.Frame(kind, height, width, bands, np.uint8, each, {i: known[i] if i in known else blank(i)[1:] for i in range(count)})
+    yield frame.head()
+    given = iter(contents)
+    for i in codecs.strip_order(kind, count):
+        if i not in known:
+            yield blank(i)[0]
+            continue
+        strip, content = next(given)
+        if strip != i or len(content) != known[i][0]:
+            raise RuntimeError("a strip has changed while the file was written")
+        yield content
+    yield frame.tail()
+
+
+def _join_strips(kind: str):
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        y, x = rows.column("y").to_numpy(), rows.column("x").to_numpy()
-        v = np.stack(rows.column("v").to_numpy(zero_copy_only=False))
-        image = np.zeros((y.max() + 1, x.max() + 1, v.shape[1]), np.uint8)
-        image[y, x] = v
-        return pa.table({"image_id": pa.array([key[0].as_py()]), "content": pa.array([codecs.encode(image, kind)], pa.binary())})
+        size = tuple(rows.column(c)[0].as_py() for c in SIZE[1:])
+        strips, lengths, checks = (rows.column(c).to_pylist() for c in ("strip", "length", "check"))
+        place = {s: i for i, s in enumerate(strips)}
+        content = rows.column("content")
+        ordered = ((s, content[place[s]].as_py()) for s in sorted(strips, reverse=kind == "bmp"))
+        return pa.table({"image_id": pa.array([key[0].as_py()], pa.string()), "content": pa.array([b"".join(_file(kind, size, dict(zip(strips, zip(lengths, checks, strict=True), strict=True)), ordered))], pa.binary())})
 
     return run
 
 
 def encode_images(pixels: DataFrame, kind: str = "tiff") -> DataFrame:
     """(image_id, content): the encoded 8-bit file of each image of ``pixels``."""
-    stored = pixels.select("image_id", "y", "x", F.transform("v", lambda c: raw(c, "u8").cast("int")).alias("v"))
-    native = kind if kind in ("tiff", "png", "bmp") else "png"
-    return stored.groupBy("image_id").applyInArrow(_encode(native), "image_id string, content binary")
+    native = kind if kind in OWN else "png"
+    return _strips(pixels, native).groupBy("image_id").applyInArrow(_join_strips(native), "image_id string, content binary")
 
 
 def _through_jvm(spark: SparkSession, png: bytes, kind: str) -> bytes:
@@ -141,14 +212,50 @@ def write_file(spark: SparkSession, path: str, data: bytes) -> None:
         out.close()
 
 
+def _write_pieces(spark: SparkSession, path: str, pieces: Iterable[bytes]) -> None:
+    """Write a file piece by piece beside ``path``, and over what was there when it is whole."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    part = spark._jvm.org.apache.hadoop.fs.Path(at.getParent(), f".{at.getName()}.{uuid.uuid4().hex}.part")
+    out, held = files.create(part, True), bytearray()
+    try:
+        try:
+            for piece in pieces:
+                held += piece
+                if len(held) >= 1 << 20:
+                    out.write(bytes(held))
+                    held.clear()
+            out.write(bytes(held))
+        finally:
+            out.close()
+        if files.exists(at):
+            files.delete(at, False)
+        if not files.rename(part, at):
+            raise OSError(f"{path} cannot be written")
+    except BaseException:
+        files.delete(part, False)
+        raise
+
+
 def write_image(pixels: DataFrame, path: str, kind: str | None = None) -> None:
-    """Write the one image of ``pixels`` as one file."""
+    """Write the one image of ``pixels`` as one file; its encoded strips pass through the driver one after another."""
     spark, kind = pixels.sparkSession, format_of(path, kind)
-    row = encode_images(pixels, kind).first()
-    if row is None:
-        raise ValueError("there are no pixels to write")
-    data = bytes(row["content"])
-    write_file(spark, path, data if kind in ("tiff", "png", "bmp") else _through_jvm(spark, data, kind))
+    if kind not in OWN:
+        row = encode_images(pixels, kind).first()
+        if row is None:
+            raise ValueError("there are no pixels to write")
+        return write_file(spark, path, _through_jvm(spark, bytes(row["content"]), kind))
+    strips = _strips(pixels, kind).persist()
+    try:
+        rows = strips.select(*SIZE, "strip", "length", "check").collect()
+        if not rows:
+            raise ValueError("there are no pixels to write")
+        name, *size = rows[0][:5]
+        known = {r["strip"]: (r["length"], r["check"]) for r in rows if r["image_id"] == name}
+        one = strips.where(F.col("image_id").eqNullSafe(F.lit(name))).orderBy(F.desc("strip") if kind == "bmp" else F.asc("strip"))
+        _write_pieces(spark, path, _file(kind, tuple(size), known, ((r[0], bytes(r[1])) for r in one.select("strip", "content").toLocalIterator())))
+    finally:
+        strips.unpersist()
 
 
 def to_array(pixels: DataFrame) -> np.ndarray:
