@@ -63,3 +63,12 @@ def test_a_failing_plan_leaves_the_file(spark, tmp_path):
     with pytest.raises(Exception, match="outside"):
         images.write_image(outside, path)
     assert (codecs.decode(open(path, "rb").read()) == want).all()
+
+
+def test_blocks_of_a_tiff_decode_their_own_strips():
+    data = bytearray(codecs.encode(TALL, "tiff"))
+    data[8:40] = bytes(32)  # the first strip is damaged
+    got = [b.column("y").to_numpy() for b in blocks_of(bytes(data), 2, 3)]
+    assert (np.unique(np.concatenate(got)) == np.arange(13334, 20000)).all()
+    with pytest.raises(Exception):
+        list(blocks_of(bytes(data), 0, 3))
