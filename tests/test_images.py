@@ -72,3 +72,10 @@ def test_blocks_of_a_tiff_decode_their_own_strips():
     assert (np.unique(np.concatenate(got)) == np.arange(13334, 20000)).all()
     with pytest.raises(Exception):
         list(blocks_of(bytes(data), 0, 3))
+
+
+def test_bmp_is_written_and_read_by_strips(spark, tmp_path):
+    by_strips(spark, tmp_path, "bmp", 3)
+    data = codecs.encode(TALL, "bmp")
+    assert (codecs.decode(data) == TALL).all()
+    assert peak_of(lambda: sum(b.num_rows for b in blocks_of(data, 0, 1))) < TALL.nbytes / 2
