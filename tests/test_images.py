@@ -79,3 +79,20 @@ def test_bmp_is_written_and_read_by_strips(spark, tmp_path):
     data = codecs.encode(TALL, "bmp")
     assert (codecs.decode(data) == TALL).all()
     assert peak_of(lambda: sum(b.num_rows for b in blocks_of(data, 0, 1))) < TALL.nbytes / 2
+
+
+def test_png_is_written_and_read_by_strips(spark, tmp_path):
+    by_strips(spark, tmp_path, "png")
+    data = codecs.encode(TALL, "png")
+    assert (codecs.decode(data) == TALL).all()
+    assert peak_of(lambda: sum(b.num_rows for b in blocks_of(data, 1, 2))) < TALL.nbytes / 2
+    # the JVM's reader checks the joined stream
+    jvm = spark._jvm
+    read = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(codecs.encode(TALL[:200], "png")))
+    assert [read.getRGB(x, 199) & 0xFFFFFF for x in range(3)] == [int(r) << 16 | int(g) << 8 | int(b) for r, g, b in TALL[199, :3]]
+    # one chunk for all, as other writers do, and one that ends early
+    body = codecs.zlib.compress(np.concatenate([np.zeros((20000, 1), np.uint8), TALL.reshape(20000, -1)], axis=1).tobytes())
+    front = data[: data.index(b"IDAT") - 4]
+    assert (codecs.decode(front + codecs._png_chunk(b"IDAT", body)) == TALL).all()
+    with pytest.raises(codecs.FormatError):
+        codecs.decode(front + codecs._png_chunk(b"IDAT", body[: len(body) // 2]))
